@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from credalis.llm import decontaminate, exact_dedup
+from credalis.llm import decontaminate, exact_dedup, language, near_dedup, pii, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op5_language": language.op5_language,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
