@@ -22,11 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalis.llm.store import saved, table
-
-#: Bits of the largest filter that is broadcast (8 MB).
-MAX_FILTER_BITS = 1 << 26
-PROBES = 4
+from credalis.llm import bloom
+from credalis.llm.store import saved, shielded, table
 
 
 @dataclass
@@ -41,7 +38,7 @@ class Run:
     def find(self, digests: np.ndarray) -> np.ndarray:
         """Positions of the digests in this run, -1 where absent; the filter is asked first."""
         at = np.full(len(digests), -1)
-        if maybe := np.flatnonzero(contains(self.filter, prefixes(digests))).tolist():
+        if maybe := np.flatnonzero(bloom.contains(self.filter, prefixes(digests))).tolist():
             pos = np.minimum(np.searchsorted(self.digests, digests[maybe]), len(self.digests) - 1)
             at[maybe] = np.where(self.digests[pos] == digests[maybe], pos, -1)
         return at
@@ -53,29 +50,6 @@ def prefixes(digests: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(digests.astype(f"S{width}")).view(np.uint8).reshape(len(digests), width)[:, :8].copy().view(">u8").ravel().astype(np.uint64)
 
 
-def bit_positions(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
-    second = (hashes >> np.uint64(32)) | np.uint64(1)
-    return [((hashes + np.uint64(k) * second) & np.uint64(n_bits - 1)).astype(np.int64) for k in range(PROBES)]
-
-
-def bloom(hashes: np.ndarray, n_bits: int) -> np.ndarray:
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for p in bit_positions(hashes, n_bits):
-        np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
-    return bits
-
-
-def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    found = np.ones(len(hashes), bool)
-    for p in bit_positions(hashes, len(bits) * 8):
-        found &= (bits[p >> 3] >> (p & 7) & 1).astype(bool)
-    return found
-
-
-def filter_bits(n: int) -> int:
-    return min(MAX_FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
-
-
 class MergeIndex:
     """Memtable and runs of one task. Ids are numbers; ``None`` loses against any id."""
 
@@ -111,7 +85,7 @@ class MergeIndex:
             left = [k for k, f in zip(keys, fresh.tolist(), strict=True) if f]
             ids = np.array([self.memtable[k][0] for k in left] + [None], object)[:-1]
             kept = digests[fresh]
-            self.runs.append(Run(kept, ids, np.array([self.memtable[k][1] for k in left], np.int64), bloom(prefixes(kept), filter_bits(len(kept)))))
+            self.runs.append(Run(kept, ids, np.array([self.memtable[k][1] for k in left], np.int64), bloom.build(prefixes(kept), bloom.bits_for(len(kept)))))
         self.memtable = {}
 
     def compacted(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,18 +122,9 @@ def digest_index(docs: DataFrame, keep: str = "min", width: int = 32, memtable_r
 
 
 def repeated_filter(repeated: DataFrame) -> bytes:
-    """A Bloom filter over ``repeated.digest``. Its words are combined by an aggregate, so at most ``MAX_FILTER_BITS / 32`` numbers reach the driver; where more digests repeat than it can tell apart, it lets more rows through and the result is the same."""
-    n_bits = filter_bits(repeated.count())
+    """A filter of bounded size over ``repeated.digest``, by the first 16 hex digits."""
     start = F.rpad("digest", 16, "0")
-    high, low = (F.conv(F.substring(start, k, 8), 16, 10).cast("long") for k in (1, 9))
-    second = high.bitwiseOR(F.lit(1))
-    # the filter has at most 2**26 bits, so the low 32 bits decide each position
-    spots = repeated.select(F.explode(F.array(*[(low + F.lit(k) * second).bitwiseAND(F.lit(n_bits - 1)) for k in range(PROBES)])).alias("p"))
-    words = spots.groupBy((F.col("p") / 32).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("v")).collect()
-    out = np.zeros(n_bits // 32, np.uint32)
-    for r in words:
-        out[r.w] = r.v
-    return out.astype("<u4").tobytes()
+    return bloom.build_distributed(repeated, *(F.conv(F.substring(start, k, 8), 16, 10).cast("long") for k in (1, 9)))
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str = "text", memtable_rows: int = 1 << 16) -> DataFrame:
@@ -167,9 +132,13 @@ def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str
 
     Null text counts as empty. A null ``doc_id`` survives only if its whole group has none. Repeated rows count each;
     rows that share the surviving id all carry it. ``width``: bytes of SHA-256 that the index keys use (a test may
-    shorten it to force equal digests of different texts). An empty table gives an empty result. Existing columns are
-    never read other than ``doc_id`` and ``text``.
+    shorten it to force equal digests of different texts). An empty table gives an empty result. Columns other than
+    ``doc_id`` and ``text`` are carried, not read.
     """
+    return shielded(docs, ("doc_id", text), lambda d: _exact_groups(d, keep, width, text, memtable_rows))
+
+
+def _exact_groups(docs: DataFrame, keep: str, width: int, text: str, memtable_rows: int) -> DataFrame:
     spark = docs.sparkSession
     index = saved(digest_index(docs, keep, width, memtable_rows), "digests")
     repeated = index.filter("group_size > 1")
@@ -183,7 +152,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str
             full = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() for t in b.column(at)]
             key = np.array([d[:16].ljust(16, "0") for d in (f[: 2 * width] for f in full)], "S16")
             hashes = np.array([int(k, 16) for k in key.tolist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(full, pa.string()), pa.array(contains(table, hashes))], [*b.schema.names, "_digest", "_maybe"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(full, pa.string()), pa.array(bloom.contains(table, hashes))], [*b.schema.names, "_digest", "_maybe"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.StringType()), T.StructField("_maybe", T.BooleanType())])
     scanned = docs.mapInArrow(scan, schema)
@@ -210,10 +179,12 @@ def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str
 
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` without copies: of equal texts the row with the smallest (``keep="max"``: largest) ``doc_id`` stays, and one row of those that repeat it."""
-    found = exact_groups(docs, keep).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")))
-    single = found.filter("_group_size = 1")
-    first = found.filter("_group_size > 1").dropDuplicates(["_digest"])
-    return single.unionByName(first).select(*docs.columns)
+
+    def first(d: DataFrame) -> DataFrame:
+        found = exact_groups(d, keep).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")))
+        return found.filter("_group_size = 1").unionByName(found.filter("_group_size > 1").dropDuplicates(["_digest"])).select(*d.columns)
+
+    return shielded(docs, ("doc_id", "text"), first)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

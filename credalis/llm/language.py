@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.llm import kernel as K
-from credalis.llm.store import table
+from credalis.llm.store import shielded, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -193,10 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
 def drop_unknown(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with its own columns, without the documents whose language is rejected."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
-    seen = predict(docs.toDF(*names), model, names[at]).filter("accepted").select(*names)
-    return seen.toDF(*docs.columns)
+    return shielded(docs, ("text",), lambda d: predict(d, model).filter("accepted").select(*d.columns))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

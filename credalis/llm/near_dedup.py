@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from credalis.llm import bloom
 from credalis.llm import kernel as K
-from credalis.llm.store import dropped, saved, table
+from credalis.llm.store import dropped, saved, shielded, table
 
 BANDS = 14
 BAND = 2
@@ -262,7 +262,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with its own columns: of each group of near-duplicates the document with the smallest doc_id stays."""
+    """``docs`` with its own columns: of each group of near-duplicates the document with the smallest doc_id stays. Rows that repeat its doc_id stay too."""
+    return shielded(docs, ("doc_id", "text"), lambda d: _drop_near_copies(d, k, percent))
+
+
+def _drop_near_copies(docs: DataFrame, k: int, percent: int) -> DataFrame:
     names = docs.columns
     gone = saved(near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build_distributed(gone, *bloom.halves(F.xxhash64("_gone"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,11 @@ def dropped(*frames: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shielded(docs: DataFrame, own: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f(docs)`` with all columns but ``own`` under names of no meaning meanwhile, so that none clashes with a working column."""
+    plain = [c if c in own else f"_x{i}" for i, c in enumerate(docs.columns)]
+    back = dict(zip(plain, docs.columns, strict=True))
+    out = f(docs.toDF(*plain))
+    return out.toDF(*[back.get(c, c) for c in out.columns])
