@@ -90,12 +90,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z lower-cased first."""
+def running(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Running sums from which the hash of any span follows; A-Z are lower-cased first."""
     code = BYTE_CODE[LOWER] if lower else BYTE_CODE
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * _power("r", len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("i", len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes that ``running`` read."""
+    return mix((total[ends] - total[starts]) * _power("i", len(total))[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    return span_hashes(running(data, lower), starts, ends)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

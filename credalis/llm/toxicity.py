@@ -12,7 +12,7 @@ without itself, turns the vote into a score; the neighbours are the evidence.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.llm import kernel as K
+from credalis.llm import near_dedup
 from credalis.llm.language import held_out
 from credalis.llm.store import table
 
@@ -29,7 +30,7 @@ TRAIN_POSITIVE, TRAIN_NEGATIVE = 1200, 2400
 #: Only texts of at most so many characters serve as examples.
 EXAMPLE_CHARS = 20_000
 #: Terms kept, most telling first.
-TERMS = 4096
+TERMS = 1024
 PREFIXES = (3, 4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -40,57 +41,51 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(hashes, rows) of all terms of each row: words, and the first bytes of words longer than that."""
     starts, ends, first = K.word_spans(data, offsets, K.ALNUM)
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    hashes, owners = [K.word_hashes(data, starts, ends)], [rows]
+    total = K.running(data)
+    hashes, owners = [K.span_hashes(total, starts, ends)], [rows]
     for n in PREFIXES:
         long = ends - starts > n
         # a prefix is another term than the word it equals
-        hashes.append(K.mix(K.word_hashes(data, starts[long], starts[long] + n) ^ np.uint64(n)))
+        hashes.append(K.mix(K.span_hashes(total, starts[long], starts[long] + n) ^ np.uint64(n)))
         owners.append(rows[long])
     return np.concatenate(hashes), np.concatenate(owners)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Vectors of the examples as postings by term, cut into blocks of examples. ``block_max[t, b]``: largest weight of term t in block b."""
+    """The examples' vectors by term, cut into blocks of ``BLOCK`` examples: ``postings[term, block]`` holds the weights of one
+    block, ``block_max[term, block]`` the largest of them. At most ``TERMS`` terms by the examples of a bounded sample."""
 
     ids: np.ndarray
     labels: np.ndarray
-    n_terms: int
-    start: np.ndarray = field(default=None)
-    docs: np.ndarray = field(default=None)
-    weights: np.ndarray = field(default=None)
-    cut: np.ndarray = field(default=None)
-    block_max: np.ndarray = field(default=None)
+    postings: np.ndarray
+    block_max: np.ndarray
 
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_terms: int) -> BlockMaxIndex:
-        order = np.lexsort((rows, terms))
-        terms, rows, weights = terms[order], rows[order], weights[order].astype(np.float32)
         n_blocks = max(1, -(-len(ids) // BLOCK))
-        cell = terms.astype(np.int64) * n_blocks + rows // BLOCK
-        cut = np.searchsorted(cell, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        top = np.zeros(n_terms * n_blocks, np.float32)
-        np.maximum.at(top, cell, weights)
-        return cls(ids, labels, n_terms, np.searchsorted(terms, np.arange(n_terms + 1)), rows, weights, cut, top.reshape(n_terms, n_blocks))
+        postings = np.zeros((n_terms, n_blocks * BLOCK), np.float32)
+        postings[terms, rows] = weights
+        postings = postings.reshape(n_terms, n_blocks, BLOCK)
+        return cls(ids, labels, postings, postings.max(2))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest examples with a cosine above 0 and their cosines: by cosine, then by position."""
-        bounds = weights @ self.block_max[terms] if len(terms) else np.zeros(0)
-        n_blocks = self.block_max.shape[1]
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            floor = cosines[k - 1] if len(cosines) >= k else 0.0
+        if not len(terms):
+            return found, cosines
+        bounds = weights @ self.block_max[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        for lo in range(0, len(order), 8):
+            some = order[lo : lo + 8]
             # a little slack: bounds and sums round differently
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-5:
+            if len(cosines) >= k and bounds[some[0]] < cosines[k - 1] - 1e-5:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.cut[t * n_blocks + b], self.cut[t * n_blocks + b + 1]
-                score[self.docs[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            found, cosines = np.concatenate((found, hit + b * BLOCK)), np.concatenate((cosines, score[hit]))
+            score = np.tensordot(weights, self.postings[terms[:, None], some[None, :]], 1)
+            at = some[:, None] * BLOCK + np.arange(BLOCK)[None, :]
+            hit = (score > 0) & (at != without)
+            found, cosines = np.concatenate((found, at[hit])), np.concatenate((cosines, score[hit]))
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
@@ -158,7 +153,7 @@ def _telling(hashes: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.nd
     n, n1 = len(y), float(y.sum())
     neg, n0 = df - pos, n - n1
     chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(1, df * (n - df) * n1 * n0)
-    usable = (pos >= max(3, 0.02 * n1)) & (pos / n1 > 2 * neg / n0) & (chi > 10.83)
+    usable = (pos >= max(3, 0.04 * n1)) & (pos / n1 > 2 * neg / n0) & (chi > 10.83)
     keep = np.flatnonzero(usable)
     keep = keep[np.lexsort((hashes[begin[keep]], -chi[keep]))[:TERMS]]
     # terms that are as common without the label say little; the odds temper the idf of the rest
@@ -168,8 +163,8 @@ def _telling(hashes: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.nd
 
 
 def train(rows: list[tuple[int, str, int]]) -> ToxicityModel:
-    """Fits on ``(doc_id, text, label)``; equal texts with equal labels count once."""
-    rows = list({(t, y): (d, t, y) for d, t, y in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0), reverse=True)}.values())[::-1]
+    """Fits on ``(doc_id, text, label)``; near copies count once."""
+    rows = families(rows)
     raw = [t.encode() for _, t, _ in rows]
     ids, y = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
@@ -192,6 +187,20 @@ def train(rows: list[tuple[int, str, int]]) -> ToxicityModel:
     return model
 
 
+def families(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """One row, that of the smallest doc_id, of those whose texts share two bands of minhashes: a group of copies is no evidence for its words."""
+    out, seen = [], set()
+    for row in sorted(rows):
+        raw = np.frombuffer(row[1].encode(), np.uint8)
+        words = K.shingle_sets(raw, np.array([0, len(raw)]), 3)
+        bands = near_dedup.band_values(words)[0].tolist() if len(words[0]) else []
+        known = [(i, b) in seen for i, b in enumerate(bands)]
+        seen.update(enumerate(bands))
+        if sum(known) < 2:
+            out.append(row)
+    return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
     """Slope (not negative) and offset of a logistic curve, by Newton's method with a little shrinkage."""
     if not len(x):
