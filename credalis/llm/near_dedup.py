@@ -8,8 +8,9 @@ Texts with equal shingle sets are one class from the start. The classes that sha
 
 1. each is compared with the smallest id of the key (one link to test for each member, however large the group);
    the links that hold on the full sets join into components;
-2. keys whose members are still in several components are searched fully: small ones pair by pair across components,
-   large ones in blocks of bounded size inside one task, which emits no more links than it has members.
+2. keys whose members are still in several components are searched fully: small ones pair by pair across components;
+   the members of large ones meet again by the first of the key's two bands, in blocks of bounded size inside one task,
+   which emits no more links than it has members.
 
 No bucket is capped. Exact set sizes are compared first, since the smaller set must have 80 % of the larger.
 """
@@ -33,7 +34,7 @@ BAND = 2
 #: Keys of at most so many classes are searched pair by pair.
 SMALL = 16
 #: A block of a large key holds at most so many classes and bytes of shingles.
-BLOCK_SETS = 1024
+BLOCK_SETS = 4096
 BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(7919)
@@ -155,16 +156,6 @@ def forest(nodes: list[int], roots: list[int], sets: list[np.ndarray], percent:
     token = np.cumsum(first) - 1
     shared = np.bincount(token)[token] > 1
     token, owner = token[shared], owner[shared]
-    common = np.zeros((n, n), np.float32)
-    step = max(256, (4 << 20) // n)
-    if len(token):
-        token = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-        for lo in range(0, int(token[-1]) + 1, step):
-            a, b = np.searchsorted(token, [lo, lo + step])
-            grid = np.zeros((n, step), np.float32)
-            grid[owner[a:b], token[a:b] - lo] = 1
-            common += grid @ grid.T
-    linked = np.triu(alike(common.astype(np.int64), sizes[:, None], sizes[None, :], percent), 1)
     parent = {r: r for r in roots}
 
     def root(x: int) -> int:
@@ -173,12 +164,25 @@ def forest(nodes: list[int], roots: list[int], sets: list[np.ndarray], percent:
             x = parent[x]
         return x
 
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-        a, b = root(roots[i]), root(roots[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((nodes[i], nodes[j]))
+    out: list[tuple[int, int]] = []
+    if not len(token):
+        return out
+    token = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+    at = np.array(roots)
+    step, high = max(256, (4 << 20) // n), max(64, (1 << 20) // n)
+    for top in range(0, n, high):
+        common = np.zeros((min(high, n - top), n), np.float32)
+        for lo in range(0, int(token[-1]) + 1, step):
+            a, b = np.searchsorted(token, [lo, lo + step])
+            grid = np.zeros((n, step), np.float32)
+            grid[owner[a:b], token[a:b] - lo] = 1
+            common += grid[top : top + high] @ grid.T
+        rows, cols = np.nonzero(alike(common, sizes[top : top + high, None], sizes[None, :], percent) & (at[top : top + high, None] != at[None, :]))
+        for i, j in zip((rows + top).tolist(), cols.tolist(), strict=True):
+            a, b = root(roots[i]), root(roots[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((nodes[i], nodes[j]))
     return out
 
 
@@ -227,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sign.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = saved(classes, "classes")
     pairs_of_bands = [(i, j) for i in range(BANDS) for j in range(i + 1, BANDS)]
-    keys = classes.filter("node is not null").select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("bands")[i], F.col("bands")[j]) for t, (i, j) in enumerate(pairs_of_bands)])).alias("key"))
+    keys = classes.filter("node is not null").select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.col("bands")[i], F.col("bands")[j]).alias("key"), F.lit(i).cast("byte").alias("i")) for t, (i, j) in enumerate(pairs_of_bands)])).alias("k")).select("node", "n", "k.key", "k.i")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter("c > 1")
     met = saved(keys.join(heads, "key"), "buckets")
 
@@ -240,12 +244,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     labelled = met.filter("c > 2").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = saved(labelled.join(open_keys, "key", "left_semi").select("key", "node", "root", "n", "c", "s", "head"), "open")
+    rest = saved(labelled.join(open_keys, "key", "left_semi").select("key", "i", "node", "root", "n", "c", "head"), "open")
     few = rest.filter((F.col("c") <= SMALL) & (F.col("node") != F.col("head")))
     other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"))
     pairs = few.withColumnRenamed("node", "a").join(other, "key").filter("a > b and root <> root_b").filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
     pairs = saved(pairs.select("a", "b").distinct(), "pairs")
-    large = rest.filter(F.col("c") > SMALL)
+    bands = classes.filter("node is not null").select("node", "bands", F.col("n_shingles").alias("n"))
+    large = rest.filter(F.col("c") > SMALL).select("node", "root", "i").distinct().join(bands, "node").select("node", "root", "n", F.xxhash64("i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"))
+    wide = large.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    large = saved(large.join(wide, "key"), "wide")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     sets = saved(shingle_table(docs, ends, k), "sets")
     more = saved(verified(pairs, sets, percent).unionByName(_in_blocks(large, sets, percent)), "links")
