@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from credalis.functions.random import uniform
+
 VALUE = "value"
 
 
@@ -177,7 +179,7 @@ class Factor:
         rows = self.df.orderBy(*self.rank()).collect()
         total = np.cumsum([r[VALUE] for r in rows])
         cum = F.array(*[F.lit(float(x)) for x in total / total[-1]])
-        u = F.rand(seed)
+        u = uniform(F.col("id"), seed)
         base = self.df.sparkSession.range(n).withColumn("_u", u)
         at = F.least(F.size(F.filter(cum, lambda c: c <= q("_u"))), F.lit(len(rows) - 1)) + 1
         return base.withColumn("_k", at).select(*[F.element_at(F.array(*[F.lit(r[v]) for r in rows]), q("_k")).alias(v) for v in self.variables])

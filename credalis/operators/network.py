@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from credalis.functions.random import uniform
 from credalis.operators.counts import state_counts, state_names
 from credalis.operators.factors import CPD, VALUE, Factor, JointDistribution, grid, product, q
 from credalis.plans import elimination
@@ -223,7 +224,7 @@ class BayesianNetwork:
             out = data.join(best, given, "left") if given else data.crossJoin(best)
             return out.select(*map(q, data.columns), *[F.col("_p")[m].alias(m) for m in missing])
         lists = post.df.groupBy(*map(q, given)).agg(F.sort_array(F.collect_list(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], q(VALUE).alias("p"), picked.alias("s")))).alias("_l"))
-        out = (data.join(lists, given, "left") if given else data.crossJoin(lists)).withColumn("_u", F.rand(seed))
+        out = (data.join(lists, given, "left") if given else data.crossJoin(lists)).withColumn("_u", uniform(F.monotonically_increasing_id(), seed))
         pick = F.aggregate("_l", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast(post.df.select(picked.alias("s")).schema["s"].dataType).alias("s")), lambda a, x: F.struct((a["c"] + x["p"]).alias("c"), F.when((a["c"] <= q("_u")) & (x["p"] > 0), x["s"]).otherwise(a["s"]).alias("s")))["s"]
         return out.withColumn("_s", pick).select(*map(q, data.columns), *[F.col("_s")[m].alias(m) for m in missing])
 
@@ -254,15 +255,13 @@ class BayesianNetwork:
         # at most one row for each parent configuration is broadcast
         cum = F.aggregate("_row", F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k")), lambda a, x: F.struct((a["c"] + x["p"]).alias("c"), (a["k"] + F.when(a["c"] + x["p"] <= q("_u"), 1).otherwise(0)).alias("k")))["k"]
         k = F.least(cum, F.lit(len(states) - 1)) + 1
-        return out.withColumn("_u", F.rand(seed)).withColumn(name, F.element_at(F.array(*[F.lit(s) for s in states]), k)).drop("_row", "_u")
+        return out.withColumn("_u", uniform(F.col("_id"), seed)).withColumn(name, F.element_at(F.array(*[F.lit(s) for s in states]), k)).drop("_row", "_u")
 
     def sample(self, n: int, seed: int = 0, fixed: dict[str, object] | None = None, partial: DataFrame | None = None, include_latents: bool = True) -> DataFrame:
         """Forward sampling in topological order. ``partial``: rows whose columns are kept; ``fixed``: values that replace draws."""
         spark = next(iter(self.cpds.values())).df.sparkSession
-        out = partial if partial is not None else spark.range(n).select()
-        have = set(out.columns)
-        if not have:
-            out = spark.range(n).select(F.col("id").alias("_id"))
+        have = set() if partial is None else set(partial.columns)
+        out = spark.range(n).select(F.col("id").alias("_id")) if partial is None else partial.withColumn("_id", F.monotonically_increasing_id())
         for i, v in enumerate(self.dag.topological()):
             if fixed and v in fixed:
                 out = out.withColumn(v, F.lit(fixed[v]))
@@ -310,7 +309,8 @@ class BayesianNetwork:
             out = net.sample(n, seed, fixed=do, partial=partial)
         keep = [v for v in self.nodes if include_latents or v not in self.dag.latents]
         gone = missing_prob if isinstance(missing_prob, dict) else dict.fromkeys(keep, missing_prob) if missing_prob else {}
-        return out.select(*[F.when(F.rand(seed + 7919 + i) < gone[v], None).otherwise(q(v)).alias(v) if v in gone else q(v) for i, v in enumerate(keep)])
+        out = out.withColumn("_id", F.monotonically_increasing_id()) if gone else out
+        return out.select(*[F.when(uniform(F.col("_id"), seed + 7919 + i) < gone[v], None).otherwise(q(v)).alias(v) if v in gone else q(v) for i, v in enumerate(keep)])
 
     def approximate(self, variables: Sequence[str], n: int = 10_000, evidence: dict[str, object] | None = None, samples: DataFrame | None = None, seed: int = 0) -> Factor:
         """Relative frequencies of the states in samples, on the full grid."""
