@@ -96,7 +96,9 @@ def parse(source: str) -> Node:
     last = source.rfind(">")
     while pos < n:
         at = source.find("<", pos)
-        if at < 0 or at > last:
+        if at < 0 or at > last:  # no tag ends any more; an open comment hides the rest
+            comment = source.find("<!--", pos)
+            n = comment if comment >= 0 else n
             break
         add(source[pos:at])
         tag = _TAG.match(source, at)
@@ -149,7 +151,7 @@ def parse(source: str) -> Node:
             pos = end.end() if end else n
             continue
         here = node
-    add(source[pos:])
+    add(source[pos:n])
     return top
 
 

@@ -1,0 +1,157 @@
+import random
+import re
+
+import numpy as np
+
+from credalis.llm import language, pii, toxicity, urls
+from credalis.llm import kernel as K
+
+LANGS = {"aa": "thereandingofto", "bb": "schunderdieein", "cc": "queleslasción"}
+
+
+def text(rng, lang, n=30):
+    s = LANGS[lang]
+    return " ".join("".join(s[i : i + 3] for i in (rng.randrange(len(s) - 2) for _ in range(rng.randint(1, 3)))) for _ in range(n))
+
+
+def test_language_is_learned_and_rejects(spark):
+    rng = random.Random(0)
+    rows = [(i, text(rng, g, rng.randint(2, 60)), g) for i, g in enumerate(sorted(LANGS) * 60)]
+    rows += [(900, None, "aa"), (901, "123 --", "bb"), (902, text(rng, "aa"), None), (903, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = language.held_out(docs.doc_id, 5, 0)
+    model = language.fit(docs, ~held)
+    assert model.langs == sorted(LANGS) and 0 < model.threshold <= 0.5
+    got = {r.doc_id: r for r in language.predict(docs, model).select("doc_id", "lang", "lang_pred", "score", "accepted").collect()}
+    right = [r.lang_pred == r.lang for i, r in got.items() if i < 180]
+    assert np.mean(right) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
+    assert [(got[i].lang_pred, got[i].score, got[i].accepted) for i in (900, 901, 903)] == [("und", 0.0, False)] * 3
+    kept = language.drop_unknown(docs.withColumnRenamed("lang", "score"), model)
+    assert kept.columns == ["doc_id", "text", "score"] and {900, 901, 903}.isdisjoint({r.doc_id for r in kept.collect()})
+    nothing = language.fit(docs.limit(0))
+    assert {r.lang_pred for r in language.predict(docs, nothing).select("lang_pred").collect()} == {"und"}
+
+
+def test_language_scores_do_not_depend_on_neighbours():
+    rng = random.Random(1)
+    model = language.train([(text(rng, g), g) for g in sorted(LANGS) * 20])
+    texts = [text(rng, "aa", 300), "x", "é", text(rng, "bb", 3)]
+    raw = [t.encode() for t in texts]
+    together = model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    for t, r in zip(raw, together):
+        np.testing.assert_allclose(model.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], r, rtol=1e-5)
+
+
+def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
+    rng = random.Random(2)
+    bad = ["grobian", "grobheit", "grobling", "idiot"]
+    rows, labels = [], []
+    for i in range(600):
+        y = i % 6 == 0
+        words = text(rng, "bb", 25).split()
+        if y:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(y), 1))
+    rows += [(1000, "du grobsack " + text(rng, "bb", 12) + " grobian"), (1001, None), (1002, ""), (1003, "grobian " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(5, 1, 0), (5, 0, 0), (None, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
+    held = language.held_out(lab.doc_id, 3, 1)
+    model = toxicity.fit(docs, lab, ~held)
+    got = {r.doc_id: (r.score, r.evidence) for r in toxicity.score(docs, model).select("doc_id", "score", "evidence").collect()}
+    assert np.mean([(got[i][0] >= 0.7) == (i % 6 == 0) for i in range(600)]) > 0.97
+    assert got[1000][0] >= 0.7 and got[1000][1][0].label == 1 and got[1003][0] >= 0.7
+    assert got[1001][0] == got[1002][0] == model.base < 0.2
+    empty = toxicity.fit(docs, lab.limit(0))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, empty).select("score").collect())
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(0)
+    n, v = 500, 40
+    rows, terms = np.nonzero(rng.random((n, v)) < 0.1)
+    w = rng.random(len(rows))
+    index = toxicity.BlockMaxIndex.of(np.arange(n), rng.integers(0, 2, n), terms, rows, w, v)
+    dense = np.zeros((n, v))
+    dense[rows, terms] = w
+    for _ in range(30):
+        t = np.sort(rng.choice(v, 5, replace=False))
+        x = rng.random(5)
+        cos = dense[:, t] @ x
+        found, got = index.search(t, x, 10, without=3)
+        cos[3] = 0
+        want = np.lexsort((np.arange(n), -cos))[:10]
+        np.testing.assert_allclose(got, cos[want], rtol=1e-5)
+
+
+def test_pii_base_spans_match_regular_expressions():
+    pieces = ["a@b.co", "x.y+z@mail.example.org", "@", "a@", "a@b", "@b.c.d", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234567", "+1", "+12 3", " ", "\n", "é", "word", "a@b.co@c.de", "12345678901234567890123", "0001.02.3.4", "--", "%"]
+    rng = random.Random(3)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for _ in range(3000):
+        s = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))
+        digits = lambda x: re.sub("[^0-9]", "", x)
+        want = [("email", m.start(), m.end()) for m in email.finditer(s)]
+        want += [("ip", m.start(), m.end()) for m in ip.finditer(s) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [("card", m.start(), m.end()) for m in card.finditer(s) if 13 <= len(digits(m[0])) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits(m[0])[::-1])) % 10 == 0]
+        want += [("phone", m.start(), m.end()) for m in phone.finditer(s) if 9 <= len(digits(m[0])) <= 15]
+        assert pii.base_spans(s) == want, s
+
+
+def test_pii_field_decodes_the_best_path_and_adds_spans(spark):
+    field = pii.trained()
+    zones = [z for s in pii.labelled_table(1, seed=9) for z, _ in pii._zones_of(s)]
+    import itertools
+
+    for z in [z for z in zones if len(z) <= 3][:12]:
+        e = field.emissions(field.ids(z))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(z)), key=lambda y: field.start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(field.moves[a, b] for a, b in itertools.pairwise(y)))
+        assert field.decode([z])[0] == [pii.LABELS[k] for k in best]
+    right = total = 0
+    for s in pii.labelled_table(3, seed=77):
+        for z, y in pii._zones_of(s):
+            right += sum(pii.LABELS[k] == g for k, g in zip(y, field.decode([z])[0]))
+            total += len(y)
+    assert right / total > 0.9
+    rows = [(1, "tel. 0171 5551234 or a@b.co", 1), (2, None, 1), (3, "", 1), (4, "password=531ccd051a92ebcb68 la", 1), (5, "x" * 100_000 + " +49 (30) 1234567", 1)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, kind int")).collect()}
+    assert got[1].spans == "email:21:27,phone:5:17" and got[1].n_email == 1 and got[1].n_phone == 0
+    assert got[2].spans == got[3].spans == got[4].spans == "" and got[5].spans == "phone:100001:100017"
+    assert pii.redact(rows[0][1], [("phone", 5, 17), ("email", 21, 27)]) == "tel. [phone] or [email]"
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_url_rules_and_model(spark):
+    addresses = [None, "", "nohost", "http://Example.com/en/x?y#z", "https://www.example.com/en/", "http://m.www.example.com/en/a", "http://a.net/es/1", "http://net/fr/1", "http://fr.net.org/fr/", "ftp://x.com", "http://x.com/", "http://notcom/a", "http://casino.example.org/free-bonus/jackpot", "http://wiki.example.org/wiki/history", "http://ü.example.org/ñ/日本", "a://b://c/d", "http://x.org/" + "a/" * 4000]
+    rows = [(i, u, "own") for i, u in enumerate(addresses)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+
+    def want(u):
+        host, path = urls.split_url(u)
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: len(r.text))
+            return host, path, best.text, best.verdict
+        weights, offset = urls.fitted()
+        b = urls.buckets(host, path)
+        return host, path, None, "block" if sum(weights[k] for k in b) + offset * len(b) ** 0.5 > 0 else "allow"
+
+    for i, u in enumerate(addresses):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want(u), u
+    assert got[12].verdict == "block" and got[13].verdict == "allow"
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in urls.RULES], "verdict string, host string, path string")
+    by_join = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, table).collect()}
+    assert by_join == {i: (r.rule, r.verdict) for i, r in got.items()}
+    assert urls.judge(pages.limit(0)).count() == 0
+    weights, offset = urls.fitted()
+    z = lambda u: sum(weights[k] for k in urls.buckets(*urls.split_url("http://" + u))) + offset * len(urls.buckets(*urls.split_url("http://" + u))) ** 0.5 > 0
+    assert np.mean([z(u) for u in urls.BLOCK] + [not z(u) for u in urls.ALLOW]) > 0.95
+
+
+def test_long_words_do_not_break_slices():
+    data = np.frombuffer(("ab " * 400_000).encode(), np.uint8)
+    parts = list(K.slices(np.array([0, 10, 10, len(data)])))
+    assert [p for r in parts for p in range(*r)] == [0, 1, 2]
