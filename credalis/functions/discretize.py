@@ -14,7 +14,8 @@ def equal_width(data: DataFrame, column: str, bins: int) -> Column:
     if lo is None or hi == lo:
         return F.when(F.col(column).isNotNull(), F.lit(0))
     width = (float(hi) - float(lo)) / bins
-    return F.least(F.greatest(F.ceil((F.col(column) - F.lit(lo)) / F.lit(width)), F.lit(1)), F.lit(bins)).cast("int") - 1
+    at = F.least(F.greatest(F.ceil((F.col(column) - F.lit(lo)) / F.lit(width)), F.lit(1)), F.lit(bins)).cast("int") - 1
+    return F.when(F.col(column).isNotNull(), at)
 
 
 def equal_frequency(data: DataFrame, column: str, bins: int) -> Column:
