@@ -120,6 +120,10 @@ def local_score(data: DataFrame, variable: str, parents: Sequence[str], formula:
     elif formula == "bdeu":
         a, b = ess / configs, ess / (configs * r)
         out = F.sum("lgb") + F.sum((F.lit(r) - F.col("k")) * g(b)) - F.sum(lgamma(F.col("t") + a)) + F.count(F.lit(1)) * (g(a) - r * g(b))
+    elif formula == "bds":
+        b, n = ess / (configs * r), totals.count()
+        a = ess / max(n, 1)
+        out = F.sum("lgb") + F.sum((F.lit(r) - F.col("k")) * g(b)) - F.sum(lgamma(F.col("t") + a)) + F.lit(n * g(a) + (configs - n) * r * g(b) - configs * r * g(b))
     elif formula == "bic":
         out = like - F.lit(0.5 * math.log(data.count()) * configs * (r - 1))
     else:

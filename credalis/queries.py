@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credalis.functions.discretize import equal_frequency, equal_width
-from credalis.operators import causal, citests, metrics, scores, structure
+from credalis.operators import causal, citests, mcmc, metrics, scores, structure
 from credalis.operators.counts import state_counts, state_names
-from credalis.operators.factors import VALUE, Factor, JointDistribution, q
-from credalis.operators.gaussian import Gram, LinearGaussianNetwork, ate_linear
-from credalis.operators.network import BayesianNetwork, mle_cpd, naive_bayes, smoothed_cpd
+from credalis.operators.factors import VALUE, Factor, FactorDict, FactorSet, JointDistribution, product, q
+from credalis.operators.gaussian import Gram, LinearGaussianNetwork, ate_linear, two_stage_least_squares
+from credalis.operators.markov import FactorGraph, MarkovNetwork
+from credalis.operators.network import BayesianNetwork, expectation_maximization, mle_cpd, naive_bayes, smoothed_cpd
 from credalis.plans.graph import DAG
+from credalis.sources import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,6 +312,7 @@ def _score(name: str, sql: str) -> None:
 
 _score("k2", "SELECT round((SELECT sum(lgamma(n + 1)) FROM n) - (SELECT sum(lgamma(t + 2)) FROM t) + 4 * lgamma(2), 3) AS score")
 _score("bdeu", "SELECT round((SELECT sum(lgamma(n + 1.25)) FROM n) + (SELECT sum((2 - k) * lgamma(1.25) - lgamma(t + 2.5) + lgamma(2.5) - 2 * lgamma(1.25)) FROM t), 3) AS score")
+_score("bds", "SELECT round((SELECT sum(lgamma(n + 1.25)) FROM n) + (SELECT sum((2 - k) * lgamma(1.25) - lgamma(t + 10.0 / (SELECT count(*) FROM t))) + count(*) * lgamma(10.0 / count(*)) + (4 - count(*)) * 2 * lgamma(1.25) - 8 * lgamma(1.25) FROM t), 3) AS score")
 _score("bic", "SELECT round((SELECT sum(n * ln(n / t)) FROM n JOIN t USING (a, d)) - 0.5 * ln((SELECT sum(n) FROM n)) * 4, 3) AS score")
 _score("aic", "SELECT round((SELECT sum(n * ln(n / t)) FROM n JOIN t USING (a, d)) - 4, 3) AS score")
 
@@ -481,6 +484,119 @@ def windowed_state_frequency(spark, sf):
     return block_counts(events, "g", ["ts", "event_id"], "event_type", 100).groupBy("block", "state").agg(F.sum("n").alias("n"))
 
 
+# --- messages, potentials, files ----------------------------------------------------------------------------------
+
+_LS = "SELECT ls, round(sum(p) / (SELECT sum(p) FROM j WHERE disc = 1 AND tax = 0), 6) AS value FROM j WHERE disc = 1 AND tax = 0 GROUP BY ls"
+
+
+@query(_NET + _LS)
+def junction_tree_query(spark, sf):
+    return rounded(MarkovNetwork.of(fitted(spark, sf)).junction_tree().query(["ls"], {"disc": 1, "tax": 0}).df)
+
+
+@query(_NET + _LS)
+def factor_graph_messages(spark, sf):
+    graph = FactorGraph([c.to_factor() for c in fitted(spark, sf).cpds.values()])
+    return rounded(graph.propagate(["ls"], {"disc": 1, "tax": 0})["ls"].df)
+
+
+@query(_NET + "SELECT round(sum(p), 6) AS z FROM j")
+def markov_partition_function(spark, sf):
+    return spark.createDataFrame([(round(MarkovNetwork.of(fitted(spark, sf)).partition_function(), 6),)], "z double")
+
+
+@query(_PAIR + "SELECT rf, f.ls, disc, round(f.v * g.v / h.v / (SELECT sum(v) FROM f), 6) AS value FROM f JOIN g ON f.ls = g.ls JOIN h ON f.ls = h.ls")
+def junction_tree_potentials(spark, sf):
+    data = coded(spark, sf).select("rf", "ls", "disc")
+    shape = MarkovNetwork([Factor.from_data(data, ["rf", "ls"]), Factor.from_data(data, ["ls", "disc"])])
+    out = product(*shape.junction_tree().fit_potentials(data).factors)
+    return rounded(Factor(out.df, ["rf", "ls", "disc"], out.states).df)
+
+
+@query(_PAIR + "SELECT sum(v * v) AS dot FROM f")
+def factor_dict_dot(spark, sf):
+    d = FactorDict.from_data(coded(spark, sf), [("rf", "ls")])
+    return spark.createDataFrame([(d.dot(d),)], "dot double")
+
+
+@query(_PAIR + "SELECT disc, sum(f.v * g.v) AS value FROM f JOIN g ON f.ls = g.ls GROUP BY disc")
+def factor_set_marginalize(spark, sf):
+    f, g, _ = _pair(spark, sf)
+    out = product(*FactorSet(f, g).marginalize(["rf", "ls"]).factors)
+    return out.df
+
+
+@query(f"WITH {CODED} SELECT ls, rf, disc, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY rf, disc), 6) AS value FROM coded GROUP BY ls, rf, disc")
+def model_file_round_trip(spark, sf):
+    data = coded(spark, sf).select("rf", "ls", "disc")
+    net = BayesianNetwork([("rf", "ls"), ("disc", "ls")]).fit(data)
+    back = models.read_bif(models.write_bif(models.Spec.of(net))).network(spark)
+    return rounded(back.cpds["ls"].df.select("ls", "rf", F.col("disc").cast("long").alias("disc"), VALUE))
+
+
+@query("SELECT * FROM (VALUES ('b'), ('c'), ('e')) t(node)")
+def markov_blanket(spark, sf):
+    return spark.createDataFrame([(n,) for n in DAG([("a", "c"), ("b", "c"), ("e", "a"), ("c", "d")]).markov_blanket("a")], "node string")
+
+
+@query("SELECT * FROM (VALUES ('a', 'b', 'c')) t(u, v, child)")
+def immoralities(spark, sf):
+    found = DAG([("a", "c"), ("b", "c"), ("c", "d")]).immoralities()
+    return spark.createDataFrame([(*sorted(p), n) for p, n in found], "u string, v string, child string")
+
+
+@query("SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 5) AS r FROM (SELECT corr(l_extendedprice, l_quantity) AS xy, corr(l_extendedprice, l_partkey) AS xz, corr(l_quantity, l_partkey) AS yz FROM lineitem)")
+def partial_correlation(spark, sf):
+    g = Gram.of(lineitem(spark, sf), ["l_extendedprice", "l_quantity", "l_partkey"])
+    return spark.createDataFrame([(round(g.partial_correlation("l_extendedprice", "l_quantity", ["l_partkey"], center=True), 5),)], "r double")
+
+
+@query("SELECT round(covar_samp(l_extendedprice, l_partkey % 7 + l_quantity) / covar_samp(l_quantity, l_partkey % 7 + l_quantity), 3) AS effect FROM lineitem")
+def instrumental_effect(spark, sf):
+    data = lineitem(spark, sf).select("l_extendedprice", "l_quantity", (F.col("l_partkey") % 7 + F.col("l_quantity")).alias("z"))
+    return spark.createDataFrame([(round(two_stage_least_squares(data, "l_quantity", "l_extendedprice", ["z"]), 3),)], "effect double")
+
+
+@query("WITH r AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT l_quantity, round(a + b * l_quantity, 2) AS predicted, count(*) AS n FROM lineitem, r GROUP BY ALL")
+def linear_gaussian_predict(spark, sf):
+    data = lineitem(spark, sf)
+    net = LinearGaussianNetwork([("l_quantity", "l_extendedprice")]).fit(data)
+    out = net.predict(data.select("l_quantity"))
+    return out.groupBy("l_quantity", F.round("l_extendedprice", 2).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def online_counts(spark, sf):
+    from credalis.streaming.online import streaming_counts
+
+    return streaming_counts(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"])
+
+
+@query()
+def belief_filter(spark, sf):
+    from credalis.streaming.online import filtered_batch
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("big", (F.col("value") > 50).cast("int"))
+    out = filtered_batch(events, "user_id", "ts", "big", [0.5, 0.5], [[0.9, 0.1], [0.1, 0.9]], [[0.8, 0.2], [0.3, 0.7]], [0, 1])
+    return out.select("user_id", F.round(F.col("belief")[0], 6).alias("p0"), "events")
+
+
+@query()
+def chow_liu_planted(spark, sf):
+    return spark.createDataFrame(sorted(structure.chow_liu(planted(spark, sf), root="a").edges), "src string, dst string")
+
+
+@query()
+def em_latent_class(spark, sf):
+    net = BayesianNetwork([("z", "a"), ("z", "b"), ("z", "c")], latents=["z"])
+    return expectation_maximization(net, planted(spark, sf).select("a", "b", "c"), {"z": [0, 1]}, rounds=5).cpds["a"].df
+
+
+@query()
+def gibbs_chains(spark, sf):
+    return mcmc.gibbs(spark, [c.to_factor() for c in fitted(spark, sf).cpds.values()], 500, chains=8, seed=1).groupBy("rf").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sampling (random, so without SQL) ----------------------------------------------------------------------------
 
 
