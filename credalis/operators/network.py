@@ -128,14 +128,9 @@ class BayesianNetwork:
 
     # --- exact queries ---
 
-    def factors(self, variables: Iterable[str], evidence: Iterable[str] = ()) -> list[Factor]:
-        keep = elimination.relevant(self.dag, variables, evidence)
-        return [self.cpds[n].to_factor() for n in self.nodes if n in keep and all(p in keep or p in evidence for p in self.dag.pa[n])]
-
     def _reduced(self, variables: Sequence[str], evidence: dict[str, object], virtual: Sequence[Factor]) -> list[Factor]:
-        seen = {*evidence, *(f.variables[0] for f in virtual)}
-        # all ancestors count once likelihoods sit inside the graph
-        keep = self.dag.ancestors({*variables, *seen})
+        likelihoods = [f.variables[0] for f in virtual]
+        keep = elimination.requisite(self.dag, variables, evidence, likelihoods) if variables else self.dag.ancestors({*evidence, *likelihoods})
         out = [self.cpds[n].to_factor() for n in self.nodes if n in keep] + list(virtual)
         return [f.reduce({v: s for v, s in evidence.items() if v in f.states}) for f in out]
 

@@ -12,13 +12,17 @@ from credalis.plans.graph import DAG, Graph, Node, ordered
 MAX_ROWS = 10_000_000
 
 
-def relevant(dag: DAG, variables: Iterable[Node], evidence: Iterable[Node]) -> set[Node]:
-    """The nodes a query needs: ancestors of what is asked and given, without what the evidence cuts off."""
-    asked, given = set(variables), set(evidence)
-    near = set().union(*(dag.active_trail(v, given) for v in asked)) if asked else set()
-    # evidence stays where it touches what is connected with the query
-    keep = dag.ancestors(asked | given)
-    return (near & keep) | asked | {e for e in given if dag.pa[e] & near or dag.ch[e] & near or any(dag.pa[c] & near for c in dag.ch[e])}
+def requisite(dag: DAG, variables: Iterable[Node], evidence: Iterable[Node], likelihoods: Iterable[Node] = ()) -> set[Node]:
+    """The nodes whose tables a query needs: those whose parameters are d-connected with it given the evidence. Barren nodes and
+    what the evidence cuts off drop out. ``likelihoods``: nodes with virtual evidence, which counts as an observed child."""
+    wide = DAG(dag.edges, dag.nodes)
+    for n in dag.nodes:
+        wide.add_edge(("table", n), n)
+    for n in likelihoods:
+        wide.add_edge(n, ("likelihood", n))
+    given = set(evidence) | {("likelihood", n) for n in likelihoods}
+    near = set().union(*(wide.active_trail(v, given) for v in variables))
+    return {n for n in dag.nodes if ("table", n) in near}
 
 
 COSTS = {

@@ -3,6 +3,7 @@ import pytest
 
 from credalis.operators.factors import CPD, Factor, JointDistribution, sum_product
 from credalis.operators.network import BayesianNetwork, expectation_maximization, mle_cpd
+from credalis.plans import elimination
 
 
 def student(spark):
@@ -37,6 +38,17 @@ def test_orders_and_virtual_evidence_agree(spark):
         np.testing.assert_allclose(net.query(["Q"], virtual_evidence=[like], order=order).values(), want)
 
 
+def test_pruning_keeps_what_a_query_needs(spark):
+    net = student(spark)
+    assert elimination.requisite(net.dag, ["Q"], ["J"]) == {"Q"}
+    assert elimination.requisite(net.dag, ["A"], []) == {"A"}
+    assert elimination.requisite(net.dag, ["A"], ["L"]) == {"A", "R", "J", "G", "L"}
+    joint = net.joint()
+    for asked, given in ((["Q"], {"J": 1}), (["A"], {"L": 0, "G": 1}), (["G"], {"L": 1, "Q": 0}), (["R", "Q"], {"J": 0})):
+        want = joint.reduce(given).marginalize([v for v in net.nodes if v not in asked and v not in given]).normalize()
+        assert net.query(asked, given).equals(want)
+
+
 def test_factor_algebra(spark):
     a = Factor.of(spark, ["x", "y"], [1, 2, 0, 4], cards=[2, 2])
     b = Factor.of(spark, ["y"], [0, 2], cards=[2])
