@@ -300,6 +300,11 @@ class JointDistribution(Factor):
         left = xyz.product(self.marginal_distribution(list(z))) if z else xyz
         return left.equals(xz.product(yz), atol)
 
+    def independencies(self, given: dict[str, object] | None = None) -> list[tuple[str, str]]:
+        """The pairs of variables that are independent, under the given states if any."""
+        own = self.conditional_distribution(given) if given else self
+        return [(u, v) for u, v in itertools.combinations(own.variables, 2) if own.check_independence([u], [v])]
+
     def minimal_imap(self, order: Sequence[str]):
         """The DAG that gives each variable the fewest of its predecessors that make it independent of the rest."""
         from credalis.plans.graph import DAG

@@ -240,8 +240,8 @@ class BayesianNetwork:
 
     # --- simulation ---
 
-    def _draw(self, df: DataFrame, c: CPD, seed: int, name: str) -> DataFrame:
-        """``df`` with a draw of the table's variable given its parents' columns, by the inverse of its cumulated row."""
+    def draw(self, df: DataFrame, c: CPD, seed: int, name: str) -> DataFrame:
+        """``df`` with a draw of the table's variable given its parents' columns, by the inverse of its cumulated row. ``df`` has a key ``_id``."""
         states = c.states[c.variable]
         at = F.array_position(F.array(*[F.lit(s) for s in states]), q(c.variable))
         row = F.sort_array(F.collect_list(F.struct(at.alias("i"), q(VALUE).alias("p"))))
@@ -261,7 +261,7 @@ class BayesianNetwork:
             if fixed and v in fixed:
                 out = out.withColumn(v, F.lit(fixed[v]))
             elif v not in have:
-                out = self._draw(out, self.cpds[v], seed + i, v)
+                out = self.draw(out, self.cpds[v], seed + i, v)
         return out.select(*[q(v) for v in self.nodes if include_latents or v not in self.dag.latents])
 
     def rejection_sample(self, n: int, evidence: dict[str, object], seed: int = 0) -> DataFrame:

@@ -64,6 +64,7 @@ def test_factor_algebra(spark):
     j = JointDistribution.of(spark, ["x", "y"], [0.1, 0.3, 0.15, 0.45], cards=[2, 2])
     assert j.check_independence(["x"], ["y"])
     np.testing.assert_allclose(j.conditional_distribution({"x": 0}).values(), [0.25, 0.75])
+    assert j.independencies() == [("x", "y")]
     assert j.minimal_imap(["x", "y"]).edges == []
 
 

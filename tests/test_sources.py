@@ -102,3 +102,29 @@ def test_densities_and_classes(spark):
     d = spark.createDataFrame([(float(x),) for x in range(11)] + [(None,)], "x double")
     assert [r[0] for r in d.select(equal_width(d, "x", 2)).collect()] == [0] * 6 + [1] * 5 + [None]
     assert [r[0] for r in d.select(equal_frequency(d, "x", 2)).collect()] == [0] * 6 + [1] * 5 + [None]
+
+
+def test_example_networks(spark):
+    from credalis.sources.examples import NETWORKS, example
+
+    for name in NETWORKS:
+        assert example(spark, name).check_model()
+    asia = example(spark, "asia")
+    np.testing.assert_allclose(asia.query(["either"]).values(), [0.064828, 0.935172], atol=1e-6)
+    np.testing.assert_allclose(asia.query(["dysp"]).values()[0], 0.435971, atol=1e-5)
+
+
+def test_sample_stream(spark):
+    from credalis.sources.examples import example
+    from credalis.streaming.generator import sample_stream
+
+    query = sample_stream(spark, example(spark, "sprinkler"), rows_per_second=50).writeStream.format("memory").queryName("drawn").start()
+    import time
+
+    end = time.time() + 60
+    while time.time() < end and spark.table("drawn").count() < 50:
+        time.sleep(1)
+    query.stop()
+    rows = spark.table("drawn")
+    assert rows.count() >= 50 and rows.filter("Wet = 'yes' AND Rain = 'no' AND Sprinkler = 'no'").isEmpty()
+    assert {r[0] for r in rows.select("Cloudy").distinct().collect()} == {"yes", "no"}
