@@ -132,7 +132,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            out._credalis_path = e._credalis_path  # goes when it is dropped
+            return out
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -239,8 +241,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = met.filter("node <> head").select("node", "n", "head").distinct().join(sizes.withColumnRenamed("node", "head"), "head")
     star = saved(star.filter(F.col("n") * 100 >= F.col("least") * percent).filter(F.col("most") * 100 >= F.col("n") * percent).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    links = saved(verified(star, saved(shingle_table(docs, ends, k), "sets"), percent), "links")
-    first = saved(components(links), "components")
+    sets = saved(shingle_table(docs, ends, k), "sets")
+    links = saved(verified(star, sets, percent), "links")
+    forest_ = components(links)
+    first = saved(forest_, "components")
+    dropped(sets, star, links, forest_)
 
     labelled = met.filter("c > 2").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
@@ -258,14 +263,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = saved(verified(pairs, sets, percent).unionByName(_in_blocks(large, sets, percent)), "links")
     named = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     bridged = more.join(named, "a", "left").join(named.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
-    second = components(bridged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    second = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    bridges = components(bridged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    dropped(met, rest, pairs, large, sets, more)
+    second = bridges.select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     rooted = classes.select("set_a", "set_b", "n_shingles", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(second, "root", "left")
     rooted = rooted.select("set_a", "set_b", "n_shingles", F.coalesce("top", "root").alias("component_id"))
     out = sign.drop("bands").join(rooted, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out._credalis_reads = (sign, classes, first, bridges)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,7 +283,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
 def _drop_near_copies(docs: DataFrame, k: int, percent: int) -> DataFrame:
     names = docs.columns
-    gone = saved(near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    found = near_duplicates(docs, k, percent)
+    gone = saved(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    dropped(*found._credalis_reads)
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build_distributed(gone, *bloom.halves(F.xxhash64("_gone"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
