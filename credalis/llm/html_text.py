@@ -260,8 +260,11 @@ def content(top: Node) -> list[Node]:
                 return [common]
         elif best is body and body.parent is not None:
             return [body]
-        # a heading or short blocks right beside the densest node, in a node of their own
+        # a heading or short blocks right beside the densest node, in a node of their own; lists of links beside it end this
         while len(marked) == 1 and best.parent is not None and best.parent is not body and best.parent.tag not in ("html", "#page"):
+            beside = [c for c in best.parent.children if c is not best and not c.cut]
+            if any(c.link_tags > 1 and 2 * c.link_chars > c.chars for c in beside):
+                break
             best = best.parent
             marked = [best]
     return sorted(marked, key=lambda x: place[id(x)])
