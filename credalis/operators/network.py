@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credalis.functions.random import uniform
-from credalis.operators.counts import state_counts, state_names
+from credalis.operators.counts import contingency, family_counts, state_counts, state_names
 from credalis.operators.factors import CPD, VALUE, Factor, JointDistribution, grid, product, q
 from credalis.plans import elimination
 from credalis.plans.graph import DAG
@@ -35,6 +35,24 @@ def smoothed_cpd(data: DataFrame, variable: str, parents: Sequence[str] = (), st
     return CPD(counts.select(q(variable), *map(q, parents), share.alias(VALUE)), variable, parents, states)
 
 
+def filled(counts: dict[tuple, float], family: Sequence[str], states: dict[str, list]) -> np.ndarray:
+    """Counts by states as an array with one axis for each variable; states that aren't listed don't count."""
+    out = np.zeros([len(states[n]) for n in family])
+    place = [{s: i for i, s in enumerate(states[n])} for n in family]
+    for k, n in counts.items():
+        at = tuple(p.get(s) for p, s in zip(place, k, strict=True))
+        if None not in at:
+            out[at] += n
+    return out
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Per parent configuration; equal shares where nothing was counted. One row for each state."""
+    flat = counts.reshape(len(counts), -1)
+    total = flat.sum(0)
+    return np.where(total > 0, flat / np.where(total > 0, total, 1), 1 / len(flat))
+
+
 class BayesianNetwork:
     def __init__(self, edges: Iterable[tuple[str, str]] = (), nodes: Iterable[str] = (), latents: Iterable[str] = ()):
         self.dag = DAG(edges, nodes, latents)
@@ -103,27 +121,38 @@ class BayesianNetwork:
 
     def fit(self, data: DataFrame, prior: str | None = None, equivalent_sample_size: float = 5, pseudo_counts: dict[str, DataFrame] | float | None = None, weight: str | None = None, states: dict[str, list] | None = None) -> BayesianNetwork:
         """Tables from data: maximum likelihood, or with a prior ``K2`` (1 each), ``BDeu`` or ``dirichlet``."""
-        names = state_names(data, self.nodes) | (states or {})
+        names = {v: (states or {}).get(v) or own for v, own in state_names(data, self.nodes).items()}
+        counts = self._counts(data, names, weight)
+        spark = data.sparkSession
         for v in self.nodes:
-            parents = self.dag.parents(v)
-            own = {n: names[n] for n in (v, *parents)}
+            family = [v, *self.dag.parents(v)]
             if prior is None:
-                alpha: float | DataFrame = 0.0
+                alpha: float | np.ndarray = 0.0
             elif prior == "K2":
                 alpha = 1.0
             elif prior == "BDeu":
-                alpha = equivalent_sample_size / math.prod(len(s) for s in own.values())
+                alpha = equivalent_sample_size / math.prod(len(names[n]) for n in family)
+            elif isinstance(pseudo_counts, dict):
+                alpha = filled({tuple(r[n] for n in family): r["alpha"] for r in pseudo_counts[v].collect()}, family, names)
             else:
-                alpha = pseudo_counts[v] if isinstance(pseudo_counts, dict) else float(pseudo_counts)
-            self.cpds[v] = smoothed_cpd(data, v, parents, own, weight, alpha)
+                alpha = float(pseudo_counts)
+            self.cpds[v] = CPD.table(spark, v, shares(counts[v] + alpha), family[1:], {n: names[n] for n in family})
         return self
 
+    def _counts(self, data: DataFrame, names: dict[str, list], weight: str | None = None) -> dict[str, np.ndarray]:
+        """The counts of all families, from one scan; tables don't refer to the data afterwards."""
+        families = {v: [v, *self.dag.parents(v)] for v in self.nodes}
+        found = family_counts(data, families.values(), weight)
+        return {v: filled(contingency(found[frozenset(f)], f, f), f, names) for v, f in families.items()}
+
     def fit_update(self, data: DataFrame, n_prev: float) -> BayesianNetwork:
         """Tables updated by new data: the old ones count as ``n_prev`` rows spread evenly over the parent configurations."""
-        for v in self.nodes:
-            c = self.cpds[v]
-            share = n_prev / math.prod(len(c.states[p]) for p in c.parents)
-            self.cpds[v] = smoothed_cpd(data, v, c.parents, c.states, None, c.df.withColumn("alpha", q(VALUE) * share).drop(VALUE))
+        spark = data.sparkSession
+        old = {v: c.reorder_parents(self.dag.parents(v)) for v, c in self.cpds.items()}
+        counts = self._counts(data, self.states)
+        for v, c in old.items():
+            prior = c.values() * n_prev / math.prod(len(c.states[p]) for p in c.parents)
+            self.cpds[v] = CPD.table(spark, v, shares(counts[v] + prior), c.parents, c.states)
         return self
 
     # --- exact queries ---
