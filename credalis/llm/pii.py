@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.llm.store import table
@@ -85,7 +84,6 @@ def base_spans(text: str) -> list[Span]:
 # --- the random field ---------------------------------------------------------------------------------------------
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-_O = 0
 _NEVER = -1e4
 
 
