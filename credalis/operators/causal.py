@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credalis.operators.factors import VALUE, Factor, q
-from credalis.operators.gaussian import Gram, ate_linear
+from credalis.operators.factors import Factor, q
+from credalis.operators.gaussian import ate_linear
 from credalis.operators.network import BayesianNetwork
 from credalis.plans.graph import DAG, ordered
 
@@ -173,5 +173,3 @@ def conditional_instruments(dag: DAG, x: str, y: str) -> list[tuple[str, frozens
             out.append((z, found))
     return out
 
-
-__all__ = ["Gram", "VALUE", "adjusted", "backdoor_sets", "do_query", "estimate_ate", "frontdoor_sets"]

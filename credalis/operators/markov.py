@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credalis.operators.factors import VALUE, Factor, grid, product, q
+from credalis.operators.factors import VALUE, Factor, grid, product
 from credalis.operators.network import BayesianNetwork
 from credalis.plans import elimination
 from credalis.plans.graph import DAG, Graph, ordered
@@ -338,5 +338,3 @@ def mirror_descent(spark: SparkSession, marginals: dict[tuple[str, ...], np.ndar
         now = loss(mu)
     return theta, now
 
-
-__all__ = ["FactorGraph", "JunctionTree", "MarkovNetwork", "Mplp", "mirror_descent", "q"]

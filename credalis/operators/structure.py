@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pyspark.sql import DataFrame
 
 from credalis.operators.citests import CITests
-from credalis.operators.counts import contingency, family_counts, state_names
+from credalis.operators.counts import contingency, family_counts
 from credalis.operators.scores import Score
 from credalis.plans.graph import DAG, PDAG, Graph, ordered
 
@@ -296,4 +296,4 @@ def tan(data: DataFrame, class_node: str, root: str | None = None, kind="mutual_
     return dag
 
 
-__all__ = ["Score", "chow_liu", "exhaustive", "greedy_equivalence", "hill_climb", "mmhc", "pc", "state_names", "tan"]
+__all__ = ["Score", "chow_liu", "exhaustive", "greedy_equivalence", "hill_climb", "mmhc", "pc", "tan"]
