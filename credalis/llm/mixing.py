@@ -2,8 +2,8 @@
 
 Each source is dealt into blocks. With weight ``w``, its block ``j`` (from 0) may run from slot ``floor(j / w)`` and is
 due by slot ``ceil((j + 1) / w)``; earliest deadline first meets every deadline, so at any slot each source is less than
-one block away from its target. Weights are shares of a period of ``PERIOD`` slots, so the schedule repeats: the driver
-simulates one period of slots, whatever the size of the corpus, and every block's slot follows by arithmetic.
+one block away from its target. Weights are exact fractions, never rounded to slots, so nothing adds up over a long
+schedule. The driver goes through the slots once, one for each block; the schedule joins the rows by source and block.
 
 A source that runs out ends a phase; the others go on by their weights among themselves. No row is dropped or repeated.
 """
@@ -11,90 +11,92 @@ A source that runs out ends a phase; the others go on by their weights among the
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credalis.llm.store import shielded, table
 
+#: Blocks of a source that one row of the schedule holds.
 PERIOD = 1000
+#: A schedule of at most so many blocks (8 MB of slots) is broadcast, a larger one is joined by a shuffle.
+BROADCAST_BLOCKS = 1_000_000
 BLOCK_DOCS = 16
 #: Rows that are ranked in one group, while there are no more than MAX_GROUPS groups of a source.
 GROUP_ROWS = 1000
 MAX_GROUPS = 20_000
-#: The schedule is held by the driver: one period for each source that runs out.
+#: The driver starts a phase for each source that runs out.
 MAX_SOURCES = 2000
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole slots of a period by weight, one at least: largest remainders first, ties by position."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while sum(out) > period:
-        i = max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else -period, -i))
-        out[i] -= 1
-    return out
+def whole(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*(x.denominator for x in exact))
+    return [int(x * common) for x in exact]
 
 
-def schedule(slots: list[int]) -> list[list[int]]:
-    """For each source with that many of ``sum(slots)`` slots, the slots it gets: earliest deadline first among the released."""
-    period = sum(slots)
-    released: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for i, a in enumerate(slots):
-        for k in range(a):
-            released[k * period // a].append((-(-(k + 1) * period // a), i))
-    out: list[list[int]] = [[] for _ in slots]
-    ready: list[tuple[int, int]] = []
-    for t in range(period):
-        for x in released[t]:
-            heapq.heappush(ready, x)
-        out[heapq.heappop(ready)[1]].append(t)
-    return out
+def schedule(weights: list[int], left: list[int]) -> list[list[int]]:
+    """For each source with that weight and that many blocks, the slots it gets until one runs out: earliest deadline first among the released."""
+    total = sum(weights)
+    out: list[list[int]] = [[] for _ in weights]
+    ready = [(-(-total // w), i) for i, w in enumerate(weights)]
+    heapq.heapify(ready)
+    # a block is released after the one before it has run, so one block of each source is in either heap
+    waiting: list[tuple[int, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // weights[i]), i))
+        i = heapq.heappop(ready)[1]
+        out[i].append(t)
+        if len(out[i]) == left[i]:
+            return out
+        heapq.heappush(waiting, (len(out[i]) * total // weights[i], i))
+        t += 1
 
 
 @dataclass
 class Part:
-    """Blocks ``first`` to ``last`` (exclusive) of a source in one phase: block ``first + k`` gets slot ``start + k // len(at) * period + at[k % len(at)]``."""
+    """Blocks ``first`` to ``last`` (exclusive) of a source in the phase that begins at slot ``start``: block ``first + k`` gets
+    slot ``start + at[k]``. ``period``: the slots, not whole, that so many blocks take at the target weight."""
 
     source: str | None
     first: int
     last: int
     start: int
-    period: int
+    period: float
     at: list[int]
 
 
 def phases(blocks: dict[str | None, int], weights: dict[str | None, float] | None, period: int = PERIOD) -> list[Part]:
-    """The schedule of all blocks. Sources without a weight, or with 0, follow when the others have run out."""
+    """The schedule of all blocks; the blocks of a part have the same ``block // period``. Sources without a weight, or with 0,
+    follow when the others have run out."""
     if len(blocks) > MAX_SOURCES:
         raise ValueError(f"{len(blocks)} sources; at most {MAX_SOURCES} can be scheduled: give small sources one name")
-    period = max(period, 4 * len(blocks))
     left = {s: n for s, n in sorted(blocks.items(), key=lambda x: (x[0] is None, x[0] or "")) if n > 0}
     done = dict.fromkeys(left, 0)
     out, start = [], 0
     while left:
         weight = {s: max(0.0, (weights or {}).get(s, 0.0)) for s in left}
         active = [s for s in left if weight[s] > 0] or list(left)
-        slots = shares([weight[s] or 1.0 for s in active], period)
-        at = schedule(slots)
-        ends = [(left[s] - 1) // a * period + x[(left[s] - 1) % a] + 1 for s, a, x in zip(active, slots, at, strict=True)]
-        length = min(ends)
-        for s, a, x in zip(active, slots, at, strict=True):
-            n = length // period * a + sum(t < length % period for t in x)
-            if n:
-                out.append(Part(s, done[s], done[s] + n, start, period, x))
-            done[s] += n
-            left[s] -= n
+        exact = whole([weight[s] or 1.0 for s in active])
+        total = sum(exact)
+        for s, w, at in zip(active, exact, schedule(exact, [left[s] for s in active]), strict=True):
+            first, end = done[s], done[s] + len(at)
+            while done[s] < end:
+                last = min(end, (done[s] // period + 1) * period)
+                own = at[done[s] - first : last - first]
+                out.append(Part(s, done[s], last, start, float(Fraction(len(own) * total, w)), own))
+                done[s] = last
+            left[s] -= len(at)
             if left[s] == 0:
                 del left[s]
-        start += length
+        start = sum(done.values())
     return out
 
 
@@ -129,12 +131,14 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str
     ranked = ranked.join(before.select(F.col("_s").alias("_s2"), F.col("_g").alias("_g2"), "_before"), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_g") == F.col("_g2")))
     rank = F.col("_before") + F.col("_r")
     blocked = ranked.withColumn("block", F.floor(rank / block_docs).cast("long")).withColumn("place", F.pmod(rank, F.lit(block_docs)).cast("int"))
-    parts = phases({s: -(-n // block_docs) for s, n in counts.items()}, weights if weights is not None else smoothed(counts), period)
-    plan = spark.createDataFrame([(p.source, p.first, p.last, p.start, p.period, p.at) for p in parts], "_p string, _first long, _last long, _start long, _period long, _at array<int>")
-    # at most one period of slots for each source that runs out
-    placed = blocked.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_p")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_last")))
-    k, a = F.col("block") - F.col("_first"), F.size("_at")
-    slot = F.col("_start") + F.floor(k / a).cast("long") * F.col("_period") + F.element_at("_at", (F.pmod(k, a) + 1).cast("int"))
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
+    parts = phases(blocks, weights if weights is not None else smoothed(counts), period)
+    plan = spark.createDataFrame([(p.source, p.first // period, p.first, p.last, p.start, p.at) for p in parts], "_p string, _part long, _first long, _last long, _start long, _at array<long>")
+    # 8 bytes a block
+    plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST_BLOCKS else plan
+    own = F.col("_s").eqNullSafe(F.col("_p")) & (F.floor(F.col("block") / period).cast("long") == F.col("_part"))
+    placed = blocked.join(plan, own & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_last")))
+    slot = F.col("_start") + F.element_at("_at", (F.col("block") - F.col("_first") + 1).cast("int"))
     return placed.withColumn("slot", slot.cast("long")).select(*docs.columns, "block", "slot", "place")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -79,6 +80,20 @@ def test_schedule_is_within_one_block_of_the_targets():
                 assert all(abs(count[s] - w * (t + 1 - a)) < 1 for s, w in share.items())
 
 
+def test_long_schedules_keep_to_the_target_weights():
+    blocks = {"big": 6000} | {f"s{i}": 550 + i for i in range(19)}
+    for weights in (mixing.smoothed(blocks), {s: n**0.7 for s, n in blocks.items()} | {"s3": 1e-3}):
+        parts = mixing.phases(blocks, weights)
+        length = min(p.start for p in parts if p.start > 0)
+        order = sorted((p.start + k // len(p.at) * p.period + p.at[k % len(p.at)], p.source) for p in parts for k in range(p.last - p.first))
+        assert [t for t, _ in order] == list(range(sum(blocks.values())))
+        exact = {s: Fraction(weights[s]) / sum(map(Fraction, weights.values())) for s in blocks}
+        count = Counter()
+        for t, source in order[:length]:
+            count[source] += 1
+            assert all(abs(count[s] - w * (t + 1)) < 1 for s, w in exact.items()), t
+
+
 def test_mixed_table(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["big"] * 8 + ["mid", "mid", "small", None]), "x") for i in range(3000)] + [(5, "big", "x"), (None, "mid", "x")]
