@@ -1,12 +1,17 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over all terms of a bounded labelled sample.
 
-Terms are lower-cased words and the byte n-grams that begin a word; of a bounded labelled sample, those are kept that
-go with the label 1. Examples and texts are TF-IDF vectors over these terms, of length 1. The index cuts its examples
-into blocks and knows the largest weight of each term in each block; a search visits blocks in order of the bound on
-their best cosine and stops when no block left can change the nearest examples, so its result is exact.
+Terms are lower-cased words and the byte n-grams that begin a word; none of the sample's is left out. Examples and texts
+are TF-IDF vectors over these terms, of length 1. Cosines with all examples come from a dense product over the common
+terms and postings of the others; those near the best are summed again in double precision, so the result is exact.
 
-The neighbours vote with their cosine as weight. A logistic curve fitted on the examples themselves, each searched
-without itself, turns the vote into a score; the neighbours are the evidence.
+Most words of a text say nothing about its label, so the vote goes by a second search, over the terms that go with the
+label 1: its index cuts the examples into blocks and knows the largest weight of each term in each block; it visits
+blocks in order of the bound on their best cosine and stops when no block left can change the nearest examples. A logistic
+curve fitted on the examples themselves, each searched without itself, turns the vote into a score. A text that is a copy
+of an example by all its terms takes the example's label.
+
+The evidence: the examples that voted, nearest by the telling terms first, then the nearest by all terms; each with its
+cosine over all terms.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ from credalis.llm.store import table
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1200, 2400
 #: Only texts of at most so many characters serve as examples.
 EXAMPLE_CHARS = 20_000
-#: Terms kept, most telling first.
-TERMS = 1024
 PREFIXES = (3, 4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
-_TABLE_BITS = 20
+#: Terms in more than one of so many examples are held densely.
+COMMON = 16
+#: Texts that are searched at once.
+BATCH = 64
+#: A text takes the nearest example's label by its cosine to this power: 1 for a copy, 0.5 at 0.99, 0.04 at 0.95.
+COPY_POWER = 64
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +62,7 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 @dataclass
 class BlockMaxIndex:
     """The examples' vectors by term, cut into blocks of ``BLOCK`` examples: ``postings[term, block]`` holds the weights of one
-    block, ``block_max[term, block]`` the largest of them. At most ``TERMS`` terms by the examples of a bounded sample."""
+    block, ``block_max[term, block]`` the largest of them. The telling terms by the examples of a bounded sample."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -91,41 +99,126 @@ class BlockMaxIndex:
         return found, cosines
 
 
+@dataclass
+class ExampleIndex:
+    """The examples' vectors over all terms: ``dense[k, example]`` for the k-th common term, postings of the others by term, and all by example."""
+
+    n: int
+    common: np.ndarray  # row in dense of each term, or -1
+    dense: np.ndarray
+    starts: np.ndarray  # of each term's postings
+    examples: np.ndarray
+    weights: np.ndarray
+    cut: np.ndarray  # of each example's terms
+    own_terms: np.ndarray
+    own_weights: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> ExampleIndex:
+        """Of sparse vectors ordered by row and term."""
+        weights = weights.astype(np.float32)
+        many = np.bincount(terms, minlength=n_terms) * COMMON > n
+        common = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+        dense = np.zeros((int(many.sum()), n), np.float32)
+        own = many[terms]
+        dense[common[terms[own]], rows[own]] = weights[own]
+        order = np.flatnonzero(~own)[np.argsort(terms[~own], kind="stable")]
+        starts = np.searchsorted(terms[order], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(n, common, dense, starts, rows[order].astype(np.int32), weights[order], np.searchsorted(rows, np.arange(n + 1)), terms.astype(np.int32), weights)
+
+    def search(self, cut: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, also: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, whose vector is ``terms[cut[i]:cut[i + 1]]``, the ``k`` nearest examples with a cosine above 0 and their
+        cosines: by cosine, then by position. The examples ``also[i]`` come first, in their order, and not again."""
+        full = np.zeros(len(self.common))
+        for lo in range(0, len(cut) - 1, BATCH):
+            own = cut[lo : lo + BATCH + 1]
+            score = self._scores(own - own[0], terms[own[0] : own[-1]], weights[own[0] : own[-1]])
+            # a little slack: the scores are rounded sums
+            least = np.partition(score, self.n - k, 1)[:, self.n - k] - 2e-5 if self.n > k else np.zeros(len(score))
+            for i in range(len(score)):
+                some = np.flatnonzero((score[i] > 0) & (score[i] >= least[i]))
+                t = terms[own[i] : own[i + 1]]
+                full[t] = weights[own[i] : own[i + 1]]
+                cosines = self._exact(full, some)
+                best = np.lexsort((some, -cosines))[:k]
+                some, cosines = some[best], cosines[best]
+                if also is not None and len(also[i + lo]):
+                    new = ~np.isin(some, also[i + lo])
+                    some, cosines = np.concatenate((also[i + lo], some[new])), np.concatenate((self._exact(full, also[i + lo]), cosines[new]))
+                full[t] = 0
+                yield some, np.minimum(cosines, 1.0)
+
+    def _exact(self, full: np.ndarray, some: np.ndarray) -> np.ndarray:
+        sizes = self.cut[some + 1] - self.cut[some]
+        at = _ranges(self.cut[some], sizes)
+        return np.bincount(np.repeat(np.arange(len(some)), sizes), full[self.own_terms[at]] * self.own_weights[at], len(some))
+
+    def _scores(self, cut: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        m = len(cut) - 1
+        rows = np.repeat(np.arange(m), np.diff(cut))
+        at = self.common[terms]
+        many = at >= 0
+        wide = np.zeros((m, len(self.dense)), np.float32)
+        wide[rows[many], at[many]] = weights[many]
+        rows, terms, weights = rows[~many], terms[~many], weights[~many]
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        some = _ranges(self.starts[terms], sizes)
+        rest = np.bincount(np.repeat(rows * self.n, sizes) + self.examples[some], np.repeat(weights, sizes) * self.weights[some], m * self.n)
+        return wide @ self.dense + rest.reshape(m, self.n)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class ToxicityModel:
-    terms: np.ndarray  # sorted hashes
+    terms: np.ndarray  # sorted hashes of all terms
     idf: np.ndarray
-    quick: np.ndarray  # which low bits occur among the terms
+    telling: np.ndarray  # number of each term among the telling ones, or -1
+    telling_idf: np.ndarray
+    examples: ExampleIndex
     index: BlockMaxIndex
     slope: float
     offset: float
-    base: float  # score of a text without neighbours
+    base: float  # score of a text without telling terms
 
-    def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse TF-IDF vectors of length 1: (rows, terms, weights), by row and term."""
+    def known(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, terms) of the terms that the examples have, repeated ones too."""
         hashes, rows = term_hashes(data, offsets)
-        some = self.quick[(hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)]
-        hashes, rows = hashes[some], rows[some]
         if not len(self.terms) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(hashes)
+        hashes, rows = hashes[order], rows[order]
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         own = self.terms[at] == hashes
-        return tf_idf(rows[own], at[own], self.idf)
+        return rows[own], at[own]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """The weighted balance of labels among the neighbours, between -1 and 1; missing neighbours weigh nothing."""
         return float((cosines * (2 * self.index.labels[found] - 1)).sum() / NEIGHBOURS)
 
-    def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * self.vote(found, cosines) + self.offset)))) if len(found) else self.base
+    def score(self, voters: np.ndarray, by: np.ndarray, found: np.ndarray, cosines: np.ndarray) -> float:
+        """By the vote of ``voters``, as far as the text isn't a copy of the nearest by all terms of the examples ``found``."""
+        p = float(1 / (1 + np.exp(-(self.slope * self.vote(voters, by) + self.offset)))) if len(voters) else self.base
+        if not len(found):
+            return p
+        best = int(np.argmax(cosines))
+        return p + float(cosines[best]) ** COPY_POWER * (float(self.index.labels[found[best]]) - p)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, list[dict]]]:
-        rows, terms, weights = self.vectors(data, offsets)
-        cut = np.searchsorted(rows, np.arange(len(offsets)))
+        n = np.arange(len(offsets))
+        rows, at = self.known(data, offsets)
+        told = self.telling[at] >= 0
+        r, t, w = tf_idf(rows[told], self.telling[at[told]], self.telling_idf)
+        cut = np.searchsorted(r, n).tolist()
+        rows, terms, weights = tf_idf(rows, at, self.idf)
+        votes = [self.index.search(t[a:b], w[a:b], NEIGHBOURS) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            found, cosines = self.index.search(terms[a:b], weights[a:b], NEIGHBOURS)
-            out.append((self.score(found, cosines), [{"doc_id": d, "label": y, "cosine": c} for d, y, c in zip(self.index.ids[found].tolist(), self.index.labels[found].tolist(), cosines.tolist(), strict=True)]))
+        for (voters, by), (found, cosines) in zip(votes, self.examples.search(np.searchsorted(rows, n), terms, weights, NEIGHBOURS, [v for v, _ in votes]), strict=True):
+            out.append((self.score(voters, by, found, cosines), [{"doc_id": d, "label": y, "cosine": c} for d, y, c in zip(self.index.ids[found].tolist(), self.index.labels[found].tolist(), cosines.tolist(), strict=True)]))
         return out
 
 
@@ -137,29 +230,34 @@ def tf_idf(rows: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return rows, terms, w / norm[rows] if len(rows) else w
 
 
-def _telling(hashes: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, idf) of the terms that go with label 1: at least twice as common there, at a share of the label-1
-    texts that one group of copies hardly reaches, by chi-squared."""
+def _vocabulary(hashes: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, idf, numbers among the telling terms or -1, idf of the telling terms) of all terms.
+
+    Telling terms go with label 1: either at least twice as common there, at a share of the label-1 texts that one group of
+    copies hardly reaches, by chi-squared, or, however rare, at least 16 times as common and more often than chance makes
+    any of the terms: by the bound on the binomial tail, one of all terms passes by chance
+    in a hundred samples at most."""
     order = np.lexsort((rows, hashes))
     hashes, rows = hashes[order], rows[order]
     once = np.ones(len(hashes), bool)
     once[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
     hashes, rows = hashes[once], rows[once]
     begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-    if not len(begin) or not 0 < y.sum() < len(y):
-        return np.zeros(0, np.uint64), np.zeros(0)
     df = np.diff(np.concatenate((begin, [len(hashes)])))
-    pos = np.add.reduceat(y[rows], begin).astype(float)
     n, n1 = len(y), float(y.sum())
+    idf = np.log((1 + n) / np.maximum(1, df))
+    telling = np.full(len(begin), -1, np.int64)
+    if not len(begin) or not 0 < n1 < n:
+        return hashes[begin], idf, telling, np.zeros(0)
+    pos = np.add.reduceat(y[rows], begin).astype(float)
     neg, n0 = df - pos, n - n1
     chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(1, df * (n - df) * n1 * n0)
-    usable = (pos >= max(3, 0.04 * n1)) & (pos / n1 > 2 * neg / n0) & (chi > 10.83)
-    keep = np.flatnonzero(usable)
-    keep = keep[np.lexsort((hashes[begin[keep]], -chi[keep]))[:TERMS]]
+    chance = pos * np.log(np.maximum(pos, 1) / (df * n1 / n)) + neg * np.log(np.maximum(neg, 1) / (df * n0 / n))
+    usual = (pos >= max(3, 0.04 * n1)) & (chi > 10.83) & (pos / n1 > 2 * neg / n0)
+    keep = np.flatnonzero(usual | ((chance > np.log(100 * len(begin))) & (pos / n1 > 16 * neg / n0)))
+    telling[keep] = np.arange(len(keep))
     # terms that are as common without the label say little; the odds temper the idf of the rest
-    idf = np.log(1 + n / df[keep]) * (pos[keep] + 0.5) / (df[keep] + 1)
-    back = np.argsort(hashes[begin[keep]])
-    return hashes[begin[keep]][back], idf[back]
+    return hashes[begin], idf, telling, np.log(1 + n / df[keep]) * (pos[keep] + 0.5) / (df[keep] + 1)
 
 
 def train(rows: list[tuple[int, str, int]]) -> ToxicityModel:
@@ -171,13 +269,12 @@ def train(rows: list[tuple[int, str, int]]) -> ToxicityModel:
     parts = [(i, term_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in K.slices(offsets)]
     hashes = np.concatenate([h for _, (h, _) in parts]) if parts else np.zeros(0, np.uint64)
     owners = np.concatenate([r + i for i, (_, r) in parts]) if parts else np.zeros(0, np.int64)
-    terms, idf = _telling(hashes, owners, y)
-    quick = np.zeros(1 << _TABLE_BITS, bool)
-    quick[(terms & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = True
-    model = ToxicityModel(terms, idf, quick, None, 1.0, 0.0, 0.0)
-    own = np.isin(hashes, terms)
-    r, t, w = tf_idf(owners[own], np.searchsorted(terms, hashes[own]), idf)
-    model.index = BlockMaxIndex.of(ids, y, t, r, w, len(terms))
+    terms, idf, telling, telling_idf = _vocabulary(hashes, owners, y)
+    at = np.searchsorted(terms, hashes)
+    examples = ExampleIndex.of(len(rows), *tf_idf(owners, at, idf), len(terms))
+    own = telling[at] >= 0
+    r, t, w = tf_idf(owners[own], telling[at[own]], telling_idf)
+    model = ToxicityModel(terms, idf, telling, telling_idf, examples, BlockMaxIndex.of(ids, y, t, r, w, len(telling_idf)), 1.0, 0.0, 0.0)
     cut = np.searchsorted(r, np.arange(len(rows) + 1))
     near = [model.index.search(t[a:b], w[a:b], NEIGHBOURS, without=i) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
     alone = np.array([not len(f) for f, _ in near], bool)
@@ -234,10 +331,10 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> T
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``evidence`` (nearest examples, their labels and cosines) added.
+    """``docs`` with ``score`` (0 to 1) and ``evidence`` (examples that voted, then the nearest by all terms; labels and cosines over all terms) added.
 
-    Only the text is read, whole. Null, empty and unknown texts have no neighbours: their score is the share of label 1
-    among such examples. Ties between neighbours go to the smaller doc_id.
+    Only the text is read, whole. Null, empty and unknown texts have no neighbours; the score of texts without telling terms
+    is the share of label 1 among such examples. Ties between neighbours go to the smaller doc_id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

@@ -67,6 +67,42 @@ def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, empty).select("score").collect())
 
 
+def test_toxicity_finds_rare_insults_and_copies():
+    rng = random.Random(4)
+    bad = ["".join(rng.choice("qxyzjkvw") for _ in range(8)) for _ in range(40)]  # each in 2.5 % of the toxic texts
+    make = lambda i: " ".join(rng.sample(text(rng, "bb", 25).split() + [bad[i // 3 % 40]] * (i % 3 == 0), 25 + (i % 3 == 0)))
+    rows = [(i, make(i), int(i % 3 == 0)) for i in range(3600)]
+    model = toxicity.train(rows)
+
+    def run(texts):
+        raw = [t.encode() for t in texts]
+        return model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+
+    fresh = run([make(i) for i in range(240)])
+    assert np.mean([s >= 0.7 for s, _ in fresh[::3]]) > 0.9 and np.mean([s >= 0.7 for s, _ in fresh[1::3] + fresh[2::3]]) < 0.02
+    known = [r for r in toxicity.families(rows)][:300]
+    for (i, _, y), (s, near) in zip(known, run([t for _, t, _ in known])):
+        best = max(near, key=lambda e: e["cosine"])
+        assert best["doc_id"] == i and abs(best["cosine"] - 1) < 1e-6 and (s >= 0.7) == (y == 1)
+
+
+def test_toxicity_search_over_all_terms_is_exact():
+    rng = np.random.default_rng(1)
+    n, v, k = 300, 400, 10
+    dense = np.where(rng.random((n, v)) < rng.choice([0.01, 0.3], v), rng.random((n, v)), 0)
+    index = toxicity.ExampleIndex.of(n, *np.nonzero(dense), dense[dense > 0], v)
+    x = np.where(rng.random((100, v)) < 0.1, rng.random((100, v)), 0) * (np.arange(100) > 0)[:, None]
+    x /= 2 * np.maximum(1, dense @ x.T).max(0)[:, None]
+    rows, terms = np.nonzero(x)
+    got = list(index.search(np.searchsorted(rows, np.arange(101)), terms, x[x > 0], k))
+    cos = dense.astype(np.float32).astype(float) @ x.T
+    assert len(got) == 100 and not len(got[0][0])
+    for i, (found, cosines) in enumerate(got[1:], 1):
+        want = np.lexsort((np.arange(n), -cos[:, i]))[:k]
+        assert found.tolist() == want.tolist()
+        np.testing.assert_allclose(cosines, cos[want, i], rtol=1e-12)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     n, v = 500, 40
