@@ -199,9 +199,10 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = dealt.select("key", "x", "y", "node", "root").join(sets, "node").select("key", "x", "y", "node", "root", "set")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: dict[int, tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-            nodes = list(group)
-            return forest(nodes, [group[n][0] for n in nodes], [group[n][1] for n in nodes], percent) if len({v[0] for v in group.values()}) > 1 else []
+        # rows of one doc_id may differ in their text: a node has each of its sets
+        def links(group: dict[tuple[int, bytes], int]) -> list[tuple[int, int]]:
+            roots = list(group.values())
+            return forest([n for n, _ in group], roots, [np.frombuffer(x, "<u8") for _, x in group], percent) if len(set(roots)) > 1 else []
 
         now, group, out = None, {}, []
         for b in batches:
@@ -209,7 +210,7 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if (key, x, y) != now:
                     out += links(group)
                     now, group = (key, x, y), {}
-                group[node] = (root, np.frombuffer(raw, "<u8"))
+                group[node, raw] = root
             if out:
                 yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
                 out = []

@@ -82,6 +82,14 @@ def test_dense_group_is_searched_fully(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
 
 
+def test_large_keys_compare_all_texts_of_a_repeated_doc_id(spark):
+    x, y = (np.arange(a, a + 20).astype("<u8").tobytes() for a in (0, 100))
+    rows = spark.createDataFrame([(7, n, n, 20, 4, 80) for n in (1, 2, 5)], "key long, node long, root long, n long, c long, s long")
+    sets = spark.createDataFrame([(5, x), (1, x), (5, y), (2, y), (5, y)], "node long, set binary")
+    got = near_dedup._in_blocks(rows, sets, 80).collect()
+    assert sorted(sorted((r.a, r.b)) for r in got) == [[1, 5], [2, 5]]
+
+
 def test_near_dedup_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0
