@@ -294,20 +294,28 @@ class BayesianNetwork:
         return out.select(*[q(v) for v in self.nodes if include_latents or v not in self.dag.latents])
 
     def rejection_sample(self, n: int, evidence: dict[str, object], seed: int = 0) -> DataFrame:
-        """Forward samples that agree with the evidence: as many rounds as it takes, each sized by the share kept so far."""
-        out, have, share, rounds = None, 0, 1.0, 0
+        """Forward samples that agree with the evidence: as many rounds as it takes, each sized by the share kept of all rows
+        so far, ten times as many while none was kept. Evidence of probability 0 raises, unless elimination is refused for
+        its size: then the rounds don't end."""
+        out, have, drawn, rounds = None, 0, 0, 0
         while have < n:
-            size = int(1.5 * (n - have) / max(share, 0.01)) + 1
+            size = int(1.5 * (n - have) * drawn / have) + 1 if have else max(int(1.5 * n) + 1, 10 * drawn)
             got = self.sample(size, seed + 1000 * rounds)
             for v, s in evidence.items():
                 got = got.filter(q(v) == F.lit(s))
             kept = got.count()
-            share, rounds = max(kept / size, 0.01), rounds + 1
+            drawn, rounds = drawn + size, rounds + 1
             out, have = (got if out is None else out.unionByName(got)), have + kept
-            if rounds > 100:
-                raise ValueError("the evidence is too unlikely to sample by rejection")
+            if rounds == 1 and not have and self._impossible(evidence):
+                raise ValueError("the evidence has probability 0")
         return out.limit(n)
 
+    def _impossible(self, evidence: dict[str, object]) -> bool:
+        try:
+            return self.get_state_probability(evidence) == 0
+        except ValueError:  # too large to eliminate
+            return False
+
     def likelihood_weighted_sample(self, n: int, evidence: dict[str, object], seed: int = 0) -> DataFrame:
         """Samples with the evidence fixed and ``_weight``, its probability given each row's other values."""
         out = self.sample(n, seed, fixed=evidence).withColumn("_weight", F.lit(1.0))

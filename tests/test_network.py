@@ -95,6 +95,14 @@ def test_samples_follow_the_tables(spark):
     assert abs(do.filter("Q = 0").count() / 4000 - 0.9) < 0.03
 
 
+def test_rejection_reaches_unlikely_evidence(spark):
+    net = BayesianNetwork([("A", "B")]).add_cpds(CPD.table(spark, "A", [[1 - 2e-5], [2e-5]]), CPD.table(spark, "B", [[1, 0.5], [0, 0.5]], ["A"], cards=[2]))
+    got = net.rejection_sample(3, {"B": 1}, seed=1)
+    assert got.count() == 3 and got.filter("A = 0 or B = 0").isEmpty()
+    with pytest.raises(ValueError):
+        net.rejection_sample(1, {"A": 0, "B": 1})
+
+
 def test_em_recovers_a_latent_class(spark):
     rng = np.random.default_rng(0)
     z = rng.random(3000) < 0.5
