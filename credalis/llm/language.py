@@ -2,7 +2,8 @@
 
 A text is the average of the embeddings of its subwords: byte n-grams within words (ASCII other than letters is one
 boundary byte). Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample. Since
-the softmax is linear in the average, prediction gathers the product of the two, one row per subword bucket.
+the softmax is linear in the average, prediction gathers the product of the two, one row per subword bucket (with many
+languages the embeddings, and multiplies once a text).
 
 Calibration: a temperature fitted on texts kept from training turns scores into probabilities, and texts below a
 threshold set on the same texts are rejected.
@@ -10,26 +11,26 @@ threshold set on the same texts are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credalis.llm import kernel as K
-from credalis.llm.store import shielded, table
+from credalis.llm.store import table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 WIDTH = 16
-#: Expected number of training texts of each language; the sample is drawn by a hash of doc_id.
-TRAIN_DOCS = 400
-#: Languages learned at most, the most frequent first.
-MAX_LANGUAGES = 256
+#: Bytes that prediction works through at once.
+WINDOW = 1 << 16
+#: Expected number of training texts of each language, and of all; the sample is drawn by a hash of doc_id.
+TRAIN_DOCS, TRAIN_ALL = 400, 100_000
+#: Texts of more characters serve for training only where a language has no shorter ones, and then at most LONG_DOCS of it.
+TRAIN_CHARS, LONG_DOCS = 20_000, 4
 #: Of texts of the learned languages, at most this share should be rejected.
 REJECT_RATE = 0.002
 
@@ -59,33 +60,45 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """``table``: for each bucket, its embedding times the softmax weights; ``threshold``: calibrated scores below it are rejected."""
+    """``table``: the embedding of each bucket, times the softmax weights already where that is not wider (``weights`` is None then).
+    ``threshold``: calibrated scores below it are rejected."""
 
     langs: list[str]
     table: np.ndarray
+    weights: np.ndarray | None
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
+    @classmethod
+    def of(cls, langs: list[str], emb: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> LanguageModel:
+        if len(langs) <= WIDTH:
+            return cls(langs, np.ascontiguousarray(emb @ weights), None, bias)
+        return cls(langs, emb, weights, bias)
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Scores of whole texts; each is read with a boundary before and after it."""
-        lengths = np.diff(offsets)
-        padded = np.full(len(data) + 2 * len(lengths), 32, np.uint8)
-        starts = offsets[:-1] + 2 * np.arange(len(lengths))
-        padded[np.arange(len(data)) + np.repeat(2 * np.arange(len(lengths)) + 1, lengths)] = data
-        total = np.zeros((len(lengths), len(self.langs)), np.float64)
-        count = np.zeros(len(lengths))
-        for n in SIZES:
-            b = subword_buckets(padded, n)
-            if not len(b):
-                continue
-            ends = starts + lengths + 2 - n + 1
-            full = np.flatnonzero(ends > starts)
-            cuts = np.stack((starts[full], ends[full]), 1).ravel()
-            got = np.concatenate((self.table[b], np.zeros((1, len(self.langs)), np.float32)))
-            total[full] += np.add.reduceat(got, np.minimum(cuts, len(b)), axis=0)[::2]
-            count[full] += (ends - starts)[full]
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        """Scores of whole texts; each is read with a boundary before and after it. Works through ``WINDOW`` bytes at once, so
+        its arrays don't grow with a text."""
+        raw, cuts = data.tobytes(), offsets.tolist()
+        padded = np.frombuffer(b" " + b"  ".join([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]) + b" ", np.uint8)
+        begin = offsets[:-1] + 2 * np.arange(len(offsets) - 1)
+        lengths = np.diff(offsets) + 2
+        total = np.zeros((len(lengths), self.table.shape[1]))
+        for lo in range(0, len(padded), WINDOW):
+            for n in SIZES:
+                b = subword_buckets(padded[lo : lo + WINDOW + n - 1], n)
+                if not len(b):
+                    continue
+                ends = begin + np.maximum(lengths - n + 1, 0)
+                rows = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(begin, lo + len(b), "left"))
+                first, last = np.maximum(begin[rows], lo) - lo, np.minimum(ends[rows], lo + len(b)) - lo
+                full = first < last
+                spans = np.stack((first[full], last[full]), 1).ravel()
+                got = np.concatenate((self.table[b], np.zeros((1, total.shape[1]), np.float32)))
+                total[rows[full]] += np.add.reduceat(got, spans, axis=0)[::2] if len(spans) else 0
+        count = sum(np.maximum(lengths - n + 1, 0) for n in SIZES)
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -105,7 +118,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, seed:
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     w, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     if not langs:
-        return LanguageModel([], emb @ w, bias)
+        return LanguageModel.of([], emb, w, bias)
     data = [(*features(text), langs.index(lang), text) for text, lang in rows]
     order = rng.permutation(len(data))
     held = [data[i] for i in order[: len(data) // 5]] if len(data) >= 25 else data
@@ -123,7 +136,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, seed:
             bias -= 0.1 * step * err
             emb[buckets] -= step * len(buckets) ** 0.5 * np.outer(share, back)
             at += 1
-    model = LanguageModel(langs, np.ascontiguousarray(emb @ w), bias)
+    model = LanguageModel.of(langs, emb, w, bias)
     raw = [t.encode() for *_, t in held]
     logits = model.logits(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
     y = np.array([h[2] for h in held])
@@ -144,15 +157,19 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, seed:
     return model
 
 
-def sample(docs: DataFrame, eligible: Column, n: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """About ``n`` texts of each language, picked by a hash of doc_id; of a language with fewer, all."""
-    usable = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = docs.filter(eligible & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+def sample(docs: DataFrame, eligible: Column, n: int = TRAIN_DOCS) -> list[tuple[str, str]]:
+    """About ``n`` texts of each language (fewer of each beyond ``TRAIN_ALL / n`` languages), picked by a hash of doc_id; of a language with fewer, all."""
+    usable = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    usable = usable.withColumn("long", F.length("text") > TRAIN_CHARS)
+    counts = usable.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count(F.lit(1)).alias("all")).collect()
     if not counts:
         return []
+    each = max(1, min(n, TRAIN_ALL // len(counts)))
+    shares = [(r.lang, r.short == 0, min(1.0, each / r.short if r.short else LONG_DOCS / r.all)) for r in counts]
+    # a row for each language
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share double"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, n / r["count"])))])
-    return [(r.text, r.lang) for r in usable.filter(draw < share[F.col("lang")]).select("doc_id", "text", "lang").orderBy("doc_id").collect()]
+    return [(r.text, r.lang) for r in usable.join(shares, ["lang", "long"]).filter(draw < F.col("share")).select("doc_id", "text", "lang").orderBy("doc_id", "lang", "text").collect()]
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
@@ -164,44 +181,48 @@ def fit(docs: DataFrame, eligible: Column | None = None, n: int = TRAIN_DOCS) ->
     return train(sample(docs, F.lit(True) if eligible is None else eligible, n))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (calibrated probability of that language) and ``accepted`` added.
+def found(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
+    """``(lang_pred, score, accepted)`` of each text as one column. Texts go to Python and only these values come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    Only the text is read, whole. A text that is null or without any letter, or a model that learned no language,
-    gives ``und``, 0 and false. Ties go to the language that sorts first.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(texts: pa.Array, lettered: pa.Array) -> pa.Array:
         m = shared.value
-        for b in batches:
-            data, offsets = K.text_buffers(b.column(at))
-            lettered = np.array(b.column(len(names)).to_numpy(zero_copy_only=False), bool)
-            for i, j in K.slices(offsets, K.SLICE // 2):
-                part = b.slice(i, j - i)
-                good = lettered[i:j].copy() if m.langs else np.zeros(j - i, bool)
-                langs, scores = [UNKNOWN] * (j - i), np.zeros(j - i)
-                if good.any():
-                    p = m.probabilities(m.logits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                    best = p.argmax(1)
-                    langs = [m.langs[k] if g else UNKNOWN for k, g in zip(best.tolist(), good.tolist(), strict=True)]
-                    scores = np.where(good, p[np.arange(j - i), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(good & (scores >= m.threshold))], schema.names)
+        data, offsets = K.text_buffers(texts)
+        good = lettered.to_numpy(zero_copy_only=False).astype(bool) & bool(m.langs)
+        langs, scores = [UNKNOWN] * len(good), np.zeros(len(good))
+        for i, j in K.slices(offsets):
+            if good[i:j].any():
+                p = m.probabilities(m.logits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                best = p.argmax(1)
+                langs[i:j] = [m.langs[k] if g else UNKNOWN for k, g in zip(best.tolist(), good[i:j].tolist(), strict=True)]
+                scores[i:j] = np.where(good[i:j], p[np.arange(j - i), best], 0.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(good & (scores >= m.threshold))], ["lang_pred", "score", "accepted"])
+
+    body = docs[text].cast("string")
+    return F.arrow_udf(scan, "lang_pred string, score double, accepted boolean")(body, F.coalesce(body.rlike(r"\p{L}"), F.lit(False)))
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letters", letters).mapInArrow(scan, schema)
+
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (calibrated probability of that language) and ``accepted`` added; columns of these
+    names are replaced, others are carried and not read.
+
+    Only the text is read, whole and however long. A text that is null, empty or without any letter, or a model that
+    learned no language, gives ``und``, 0 and false. Ties go to the language that sorts first; repeated rows repeat their
+    result; an empty table gives an empty one.
+    """
+    got = found(docs, model, text)
+    return docs.withColumns({c: got[c] for c in ("lang_pred", "score", "accepted")})
 
 
-def drop_unknown(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with its own columns, without the documents whose language is rejected."""
-    return shielded(docs, ("text",), lambda d: predict(d, model).filter("accepted").select(*d.columns))
+def drop_unknown(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``docs`` with its own columns, whatever their names, without the documents whose language is rejected: those that are
+    null, empty or without letters, and those with a score below the model's threshold. All other rows stay, repeated ones too."""
+    return docs.filter(found(docs, model, text)["accepted"])
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from the labelled rows whose crc32(doc_id) mod 5 is not 0. Null and
+    letterless texts: ``und``, score 0. A null doc_id is not held out. Repeated rows each give their row; extra columns are not read."""
     docs = table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 5, 0)
     model = fit(docs, ~held)

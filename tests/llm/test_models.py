@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -28,6 +29,9 @@ def test_language_is_learned_and_rejects(spark):
     assert [(got[i].lang_pred, got[i].score, got[i].accepted) for i in (900, 901, 903)] == [("und", 0.0, False)] * 3
     kept = language.drop_unknown(docs.withColumnRenamed("lang", "score"), model)
     assert kept.columns == ["doc_id", "text", "score"] and {900, 901, 903}.isdisjoint({r.doc_id for r in kept.collect()})
+    clash = language.predict(docs.withColumnRenamed("lang", "score"), model)
+    assert clash.columns == ["doc_id", "text", "score", "lang_pred", "accepted"] and {r.doc_id: r.score for r in clash.collect()} == {i: r.score for i, r in got.items()}
+    assert language.predict(docs.limit(0), model).count() == 0
     nothing = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.predict(docs, nothing).select("lang_pred").collect()} == {"und"}
 
@@ -39,7 +43,27 @@ def test_language_scores_do_not_depend_on_neighbours():
     raw = [t.encode() for t in texts]
     together = model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
     for t, r in zip(raw, together):
-        np.testing.assert_allclose(model.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], r, rtol=1e-5)
+        np.testing.assert_allclose(model.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], r, rtol=1e-4, atol=1e-6)
+
+
+def test_language_of_many_languages_and_long_texts(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    own = {f"l{i:03}": letters[3 * i : 3 * i + 3] for i in range(300)}
+    word = lambda g: "".join(rng.choice(own[g]) for _ in range(4))
+    rows = [(i, " ".join(word(g) for _ in range(20)), g) for i, g in enumerate(sorted(own) * 3)]
+    rows.append((5000, "é" * 30_000, "only long"))
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == [*sorted(own), "only long"] and model.table.shape[1] == language.WIDTH
+    model = language.train([(text(rng, g), g) for g in sorted(LANGS) * 20])
+    long = text(rng, "bb", 1 << 18).encode()
+    tracemalloc.start()
+    got = model.logits(np.frombuffer(long, np.uint8), np.array([0, len(long)]))[0]
+    assert tracemalloc.get_traced_memory()[1] < 5 * len(long) + (40 << 20)
+    tracemalloc.stop()
+    data = np.frombuffer(b" " + long + b" ", np.uint8)
+    grams = np.concatenate([language.subword_buckets(data, n) for n in language.SIZES])
+    np.testing.assert_allclose(got, model.table[grams].astype(float).mean(0) + model.bias, rtol=1e-4)
 
 
 def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
