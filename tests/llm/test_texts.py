@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -48,6 +50,71 @@ def test_html_keeps_the_article_only():
             assert html_text.main_text(page.replace("{}", box.replace("{}", ARTICLE))) == WANT, (page, box)
 
 
+def brute_densities(node):
+    """By the definition, each count made anew from the whole subtree: {node: (density, sum of its children's)}."""
+    below = lambda x: [y for c in x.children if not c.cut for y in (c, *below(c))]
+    chars = lambda x: sum(len("".join(t.split())) for y in (x, *below(x)) for t in y.parts if isinstance(t, str))
+    links = lambda x: chars(x) if x.tag == "a" else sum(links(c) for c in x.children if not c.cut)
+    body = next((y for y in (node, *below(node)) if y.tag == "body"), node)
+    ratio = links(body) / max(1, chars(body))
+
+    def density(x):
+        c, lc = chars(x), links(x)
+        t, lt = max(1, len(below(x))), sum(y.tag == "a" for y in (x, *below(x)))
+        if c <= t:
+            return c / t * 1e-3
+        # a logarithm to a base that is a logarithm itself
+        return c / t * math.log(max(1 + 1e-9, c / max(1, lc) * t / max(1, lt)), max(1 + 1e-9, math.log(c * lc / max(1, c - lc) + ratio * c + math.e)))
+
+    return {id(x): (density(x), sum(density(c) for c in x.children if not c.cut)) for x in (node, *below(node))}
+
+
+def test_html_densities_match_the_definition():
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = ["<body>"]
+        for _ in range(rng.randint(1, 25)):
+            parts.append(rng.choice(["<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "<a href=x>word</a> ", "<b>bold", "</b>", "some words of text here ", "<br>", "<section>", "</section>"]))
+        top = html_text.parse("".join(parts))
+        _, order = html_text.measure(top)
+        want = brute_densities(top)
+        for x in order:
+            if x.chars:
+                np.testing.assert_allclose((x.density, x.sum), want[id(x)], rtol=1e-9)
+
+
+PLAIN = [
+    '<body><div><ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul></div><div><div>{}</div></div><div><a href=/i>Imprint</a> <a href=/p>Privacy</a></div></body>',
+    '<body><table><tr><td><a href=/1>One</a><br><a href=/2>Two</a></td><td>{}</td></tr></table><p><a href=x>top</a></p></body>',
+    '<body><div class="x1"><div class="x2"><a href=/a>Start</a><a href=/b>Other</a></div><div class="x3">{}</div><div class="x4"><ul><li><a href=/q>More</a></li><li><a href=/r>of it</a></li></ul></div></div></body>',
+]
+
+
+def test_html_article_without_telling_tags_or_names():
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choice(["some", "words", "of", "an", "article", "that", "nobody", "wrote"]) for _ in range(rng.randint(8, 40)))
+    for page in PLAIN:
+        for _ in range(40):
+            said = [sentence() for _ in range(rng.randint(2, 9))]
+            body = "".join(f"<p>{x}</p>" for x in said)
+            assert html_text.main_text(page.replace("{}", body)) == "\n\n".join(said), (page, body)
+
+
+def test_html_hints_are_looked_at():
+    prose = "A long paragraph of the article that sits in a part with an odd name, and goes on for quite some words, as prose does, until it ends here at last."
+    page = f'<body><div><h1>Head</h1><div class="widget text"><p>{prose}</p></div><p>{prose}</p><div class="share">Share this <a href=x>here</a></div><div class="related"><a href=/1>First other</a> <a href=/2>Second other</a></div></div></body>'
+    assert html_text.main_text(page) == f"Head\n\n{prose}\n\n{prose}"
+
+
+def test_html_reads_hostile_pages_in_linear_time():
+    n = 100_000
+    began = time.process_time()
+    for source in ("<b>" * n + "</i>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<b>" * n + "<li></li>" * n, "<b>" * n + "<div></div>" * n):
+        html_text.parse(source)
+    assert time.process_time() - began < 20
+    assert len(html_text.main_text("<p>" + "long text " * 300_000)) == 2_999_999
+
+
 def test_html_odd_pages(spark):
     for source, want in ((None, ""), ("", ""), ("plain  text", "plain text"), ("<div>a < b &amp;& c</div>", "a < b && c"), ("<p>x<!-- y", "x"), ("<script>x", ""), ("<p>&am &#65; &bogus;</p>", "&am A &bogus;"), ("<a b='>'>x</a>", "x"), ("<" * 30, "<" * 30), ("<nav>only menu</nav>", "")):
         assert html_text.main_text(source) == want, source
@@ -56,6 +123,9 @@ def test_html_odd_pages(spark):
     rows = [(1, "u", "<p>hi</p>", "own"), (1, "u", "<p>hi</p>", "own"), (2, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, tag string")).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "hi", 2), (1, "hi", 2), (2, "", 0)]
+    clash = html_text.extract(spark.createDataFrame([(1, "<p>hi</p>", "own", 7)], "page_id long, html string, text string, n_chars int"))
+    assert [tuple(r) for r in clash.collect()] == [(1, "hi", 2)] and clash.columns == ["page_id", "text", "n_chars"]
+    assert html_text.extract(clash.withColumnRenamed("text", "html").limit(0)).count() == 0
 
 
 def test_schedule_is_within_one_block_of_the_targets():
