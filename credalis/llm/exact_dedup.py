@@ -1,17 +1,18 @@
 """Exact deduplication with a log-structured merge index of digests.
 
-1. Every task feeds the digests of its texts to a memtable. A full memtable is flushed as a sorted run with a
-   Bloom filter; a digest that an older run already holds is counted there. At its end the task merges its runs and
-   emits each digest once, so a text that fills a third of the table leaves one row per task.
+1. Every task feeds the digests of its texts to a memtable. A full memtable is flushed as a sorted run with a Bloom
+   filter; a digest that an older run already holds is counted there. Runs of one level are merged to a run of the next;
+   beyond a bound the merged run leaves the task. So a text that fills a third of the table leaves a few rows per task.
 2. Compaction merges the runs of all tasks by digest: the surviving identifier and the number of rows.
-3. A filter over the digests that occur more than once, of bounded size, is sent to a second scan. Rows that it
-   excludes are unique and never shuffled with their text; the others meet the surviving row's bytes.
-4. Rows whose bytes differ from the survivor's (equal digests of different texts) are grouped again by the text itself.
+3. A filter over the digests that occur more than once, of bounded size, tells which rows are unique. The texts of the
+   others are verified: they are grouped by digest and bytes, each task sending a text once however many copies it has.
+4. Rows get the result of their digest. Digests with more than a ten-thousandth of all copies are at most ten thousand and
+   are joined where the rows are; the others by a shuffle of rows without their text.
+5. Rows of a digest that several texts share are grouped again by the text itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,177 +20,249 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credalis.llm import bloom
-from credalis.llm.store import saved, shielded, table
+from credalis.llm import kernel as K
+from credalis.llm.store import dropped, saved, shielded, table
+
+#: Rows of a memtable, and digests that a task holds in runs.
+MEMTABLE_ROWS, HELD_ROWS = 1 << 16, 1 << 19
+#: Digests with more than this share of all copies are joined by a broadcast; there are at most so many.
+HOT = 10_000
 
 
 @dataclass
 class Run:
-    """A sorted run: distinct digests (fixed-width bytes), surviving ids, counts and a Bloom filter over the digests."""
+    """A sorted run: distinct digests (fixed-width bytes), surviving ids (where ``known``), counts and a Bloom filter over the digests."""
 
     digests: np.ndarray
     ids: np.ndarray
+    known: np.ndarray
     counts: np.ndarray
     filter: np.ndarray
+    level: int = 0
+
+    @classmethod
+    def of(cls, digests: np.ndarray, ids: np.ndarray, known: np.ndarray, counts: np.ndarray, level: int = 0) -> Run:
+        return cls(digests, ids, known, counts, bloom.build(prefixes(digests), bloom.bits_for(len(digests))), level)
 
     def find(self, digests: np.ndarray) -> np.ndarray:
         """Positions of the digests in this run, -1 where absent; the filter is asked first."""
         at = np.full(len(digests), -1)
-        if maybe := np.flatnonzero(bloom.contains(self.filter, prefixes(digests))).tolist():
+        maybe = np.flatnonzero(bloom.contains(self.filter, prefixes(digests)))
+        if len(maybe):
             pos = np.minimum(np.searchsorted(self.digests, digests[maybe]), len(self.digests) - 1)
             at[maybe] = np.where(self.digests[pos] == digests[maybe], pos, -1)
         return at
 
 
 def prefixes(digests: np.ndarray) -> np.ndarray:
-    """The first 8 bytes of each digest as a number; short digests are padded with zeros."""
-    width = max(8, digests.dtype.itemsize)
-    return np.ascontiguousarray(digests.astype(f"S{width}")).view(np.uint8).reshape(len(digests), width)[:, :8].copy().view(">u8").ravel().astype(np.uint64)
+    """The first 8 bytes of each digest, mixed to a number; short digests are padded with zeros."""
+    width = max(16, digests.dtype.itemsize)
+    raw = np.ascontiguousarray(digests.astype(f"S{width}")).view(np.uint8).reshape(len(digests), width)[:, :16]
+    halves = np.ascontiguousarray(raw).view(">u8").astype(np.uint64)
+    return K.mix(halves[:, 0] * np.uint64(0x9E3779B97F4A7C15) + halves[:, 1])
 
 
-class MergeIndex:
-    """Memtable and runs of one task. Ids are numbers; ``None`` loses against any id."""
+def merged(a: Run, b: Run) -> Run:
+    """Of two sorted runs that share no digest."""
+    at = np.searchsorted(a.digests, b.digests) + np.arange(len(b.digests))
+    first = np.ones(len(a.digests) + len(b.digests), bool)
+    first[at] = False
 
-    def __init__(self, keep: str = "min", memtable_rows: int = 1 << 16):
-        self.better = {"min": min, "max": max}[keep]
-        self.memtable_rows = memtable_rows
-        self.memtable: dict[bytes, tuple[int | None, int]] = {}
-        self.runs: list[Run] = []
+    def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), x.dtype)
+        out[first], out[at] = x, y
+        return out
 
-    def put(self, digest: bytes, doc_id: int | None) -> None:
-        old = self.memtable.get(digest)
-        self.memtable[digest] = (doc_id, 1) if old is None else (self._pick(old[0], doc_id), old[1] + 1)
-        if len(self.memtable) >= self.memtable_rows:
-            self.flush()
+    return Run.of(both(a.digests, b.digests), both(a.ids, b.ids), both(a.known, b.known), both(a.counts, b.counts), max(a.level, b.level) + 1)
 
-    def _pick(self, a: int | None, b: int | None) -> int | None:
-        return b if a is None else a if b is None else self.better(a, b)
+
+class MergeIndex:
+    """Memtable and runs of one task. Ids are numbers; rows without one (``known`` is false) lose against any id."""
+
+    def __init__(self, keep: str = "min", memtable_rows: int = MEMTABLE_ROWS, held_rows: int = HELD_ROWS):
+        self.best = {"min": np.minimum, "max": np.maximum}[keep]
+        self.worst = {"min": (1 << 63) - 1, "max": -(1 << 63)}[keep]
+        self.memtable_rows, self.held_rows = memtable_rows, held_rows
+        self.memtable: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+        self.runs: list[Run] = []
+
+    def put(self, digests: np.ndarray, ids: np.ndarray, known: np.ndarray) -> Iterator[Run]:
+        """Takes rows; gives back what leaves the task."""
+        for lo in range(0, len(digests), self.memtable_rows):
+            part = slice(lo, lo + self.memtable_rows)
+            self.memtable.append((digests[part], np.where(known[part], ids[part], self.worst), known[part]))
+            self.rows += len(digests[part])
+            if self.rows >= self.memtable_rows:
+                self.flush()
+            if sum(len(r.digests) for r in self.runs) > self.held_rows:
+                yield from self.compacted()
 
     def flush(self) -> None:
-        if not self.memtable:
+        if not self.rows:
             return
-        keys = sorted(self.memtable)
-        digests = np.array(keys, dtype=f"S{len(keys[0])}")
-        fresh = np.ones(len(keys), bool)
+        digests, ids, known = (np.concatenate(x) for x in zip(*self.memtable, strict=True))
+        self.memtable, self.rows = [], 0
+        order = np.argsort(digests, kind="stable")
+        digests, ids, known = digests[order], ids[order], known[order]
+        begin = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1])))
+        counts = np.diff(np.concatenate((begin, [len(digests)])))
+        digests, ids, known = digests[begin], self.best.reduceat(ids, begin), np.logical_or.reduceat(known, begin)
+        fresh = np.ones(len(digests), bool)
         for run in self.runs:
-            for i, at in enumerate(run.find(digests).tolist()):
-                if at >= 0:
-                    doc_id, n = self.memtable[keys[i]]
-                    run.ids[at] = self._pick(run.ids[at], doc_id)
-                    run.counts[at] += n
-                    fresh[i] = False
+            at = run.find(digests)
+            own = np.flatnonzero(at >= 0)
+            run.ids[at[own]] = self.best(run.ids[at[own]], ids[own])
+            run.known[at[own]] |= known[own]
+            run.counts[at[own]] += counts[own]
+            fresh[own] = False
         if fresh.any():
-            left = [k for k, f in zip(keys, fresh.tolist(), strict=True) if f]
-            ids = np.array([self.memtable[k][0] for k in left] + [None], object)[:-1]
-            kept = digests[fresh]
-            self.runs.append(Run(kept, ids, np.array([self.memtable[k][1] for k in left], np.int64), bloom.build(prefixes(kept), bloom.bits_for(len(kept)))))
-        self.memtable = {}
-
-    def compacted(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The merged runs, sorted by digest; runs never share a digest."""
+            self.runs.append(Run.of(digests[fresh], ids[fresh], known[fresh], counts[fresh]))
+        while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
+            b, a = self.runs.pop(), self.runs.pop()
+            self.runs.append(merged(a, b))
+
+    def compacted(self) -> Iterator[Run]:
+        """All runs as one, sorted by digest; the index is empty then."""
         self.flush()
+        while len(self.runs) > 1:
+            b, a = self.runs.pop(), self.runs.pop()
+            self.runs.append(merged(a, b))
         if self.runs:
-            digests = np.concatenate([r.digests for r in self.runs])
-            order = np.argsort(digests, kind="stable")
-            yield digests[order], np.concatenate([r.ids for r in self.runs])[order], np.concatenate([r.counts for r in self.runs])[order]
+            yield self.runs.pop()
 
 
-def _digests(texts: pa.Array, width: int) -> list[bytes]:
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    return [hashlib.sha256(t.as_buffer() if t.is_valid else b"").digest()[:width] for t in texts]
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8, hex; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def digest_index(docs: DataFrame, keep: str = "min", width: int = 32, memtable_rows: int = 1 << 16) -> DataFrame:
-    """``(digest, keep_id, group_size)``, one row per distinct digest of ``docs(doc_id, text)``."""
+def digest_index(rows: DataFrame, keep: str = "min", memtable_rows: int = MEMTABLE_ROWS, held_rows: int = HELD_ROWS) -> DataFrame:
+    """``(key, keep_id, group_size)``, one row per distinct key of ``rows(id, key)``."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = MergeIndex(keep, memtable_rows)
+        index = MergeIndex(keep, memtable_rows, held_rows)
+
+        def out(found: Iterator[Run]) -> Iterator[pa.RecordBatch]:
+            for run in found:
+                for k in range(0, len(run.digests), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.record_batch([pa.array(run.digests[part].astype(str)), pa.array(run.ids[part], pa.int64(), mask=~run.known[part]), pa.array(run.counts[part], pa.int64())], ["key", "keep_id", "group_size"])
+
         for b in batches:
-            for d, i in zip(_digests(b.column(1), width), b.column(0).to_pylist(), strict=True):
-                index.put(d.hex().encode(), i)  # hex: fixed-width byte strings of numpy drop trailing zeros
-        for digests, ids, counts in index.compacted():
-            for k in range(0, len(digests), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.record_batch([pa.array([x.decode() for x in digests[part].tolist()], pa.string()), pa.array(ids[part].tolist(), pa.int64()), pa.array(counts[part])], ["digest", "keep_id", "group_size"])
+            ids = b.column(0)
+            keys = np.array(b.column(1).to_pylist(), "S")
+            yield from out(index.put(keys, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
+        yield from out(index.compacted())
+
+    best = F.max if keep == "max" else F.min
+    found = rows.select("id", "key").mapInArrow(runs, "key string, keep_id long, group_size long")
+    return found.groupBy("key").agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
+
+def among(spark: SparkSession, keys: DataFrame, of: str) -> Column:
+    """Whether the hash of a column may be among ``keys(of)``: a Bloom filter of bounded size."""
+    bits = spark.sparkContext.broadcast(bloom.build_distributed(keys, *bloom.halves(F.xxhash64(of))))
+    return F.arrow_udf(lambda h: pa.array(bloom.contains(np.frombuffer(bits.value, np.uint8), h.to_numpy().view(np.uint64)), pa.bool_()), "boolean")
+
+
+@dataclass
+class Groups:
+    """What is known of the texts that may occur more than once."""
+
+    repeated: Column  # a function of the hash of a key: whether the key may occur more than once
+    groups: DataFrame  # (key, texts, keep_id, group_size) of such keys
+    odd: bool  # whether a key has several texts
+    index: DataFrame
+
+
+def _verified(docs: DataFrame, rows: DataFrame, keep: str, width: int, text: str, memtable_rows: int, held_rows: int) -> Groups:
+    """``rows(id, key)`` are those of ``docs``."""
     best = F.max if keep == "max" else F.min
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(runs, "digest string, keep_id long, group_size long")
-    return found.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    index = saved(digest_index(rows, keep, memtable_rows, held_rows).filter("group_size > 1"), "digests")
+    repeated = among(docs.sparkSession, index, "key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(digest_of(F.col(text)), 1, 2 * width).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).filter(repeated(F.xxhash64("key")))
+    groups = texts.groupBy("key", "body").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"), best("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = saved(groups, "groups")
+    return Groups(repeated, groups, not groups.filter("texts > 1").isEmpty(), index)
 
 
-def repeated_filter(repeated: DataFrame) -> bytes:
-    """A filter of bounded size over ``repeated.digest``, by the first 16 hex digits."""
-    start = F.rpad("digest", 16, "0")
-    return bloom.build_distributed(repeated, *(F.conv(F.substring(start, k, 8), 16, 10).cast("long") for k in (1, 9)))
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is one of ``groups``, with ``keep_id`` and ``group_size``."""
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    known = groups.select("key", "keep_id", "group_size")
+    hot = F.broadcast(known.filter(F.col("group_size") * HOT > total))
+    cold = rows.join(hot.select("key"), "key", "left_anti").join(known.filter(F.col("group_size") * HOT <= total), "key")
+    return rows.join(hot, "key").unionByName(cold)
 
 
-def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str = "text", memtable_rows: int = 1 << 16) -> DataFrame:
-    """All columns of ``docs`` (with ``doc_id`` and ``text``) plus ``_keep_id``, ``_group_size`` and ``_digest`` (full SHA-256, hex).
+def _by_text(docs: DataFrame, found: Groups, keep: str, width: int, text: str) -> DataFrame:
+    """The rows of ``docs`` whose digest several texts share, with ``key``, ``digest``, ``keep_id`` and ``group_size`` by the text."""
+    best = F.max if keep == "max" else F.min
+    odd = found.groups.filter("texts > 1").select("key")
+    rows = docs.withColumns({"digest": digest_of(F.col(text)), "body": F.coalesce(F.col(text).cast("string"), F.lit(""))}).withColumn("key", F.substring("digest", 1, 2 * width)).join(odd, "key", "left_semi")
+    sums = rows.groupBy("body").agg(best(F.col("doc_id").cast("long")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(sums, "body").drop("body")
+
+
+def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str = "text", memtable_rows: int = MEMTABLE_ROWS, held_rows: int = HELD_ROWS) -> DataFrame:
+    """``(doc_id, keep_id, group_size, digest)``, one row for each row of ``docs(doc_id, text)``; ``digest`` is the full SHA-256, hex.
 
     Null text counts as empty. A null ``doc_id`` survives only if its whole group has none. Repeated rows count each;
     rows that share the surviving id all carry it. ``width``: bytes of SHA-256 that the index keys use (a test may
-    shorten it to force equal digests of different texts). An empty table gives an empty result. Columns other than
-    ``doc_id`` and ``text`` are carried, not read.
+    shorten it to force equal digests of different texts). An empty table gives an empty result. Other columns are not
+    read. Texts are read twice, and only those that may be repeated are shuffled.
     """
-    return shielded(docs, ("doc_id", text), lambda d: _exact_groups(d, keep, width, text, memtable_rows))
+    rows = saved(docs.select(F.col("doc_id").cast("long").alias("id"), digest_of(docs[text]).alias("digest")).withColumn("key", F.substring("digest", 1, 2 * width)), "rows")
+    found = _verified(docs, rows, keep, width, text, memtable_rows, held_rows)
+    rows = rows.withColumn("maybe", found.repeated(F.xxhash64("key")))
+    columns = ["doc_id", "keep_id", "group_size", "digest"]
+    unique = rows.filter("not maybe").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    out = unique.unionByName(_with_groups(rows.filter("maybe").drop("maybe"), found.groups.filter("texts = 1")).withColumnRenamed("id", "doc_id").select(*columns))
+    if found.odd:
+        out = out.unionByName(_by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias(text)), found, keep, width, text).select(*columns))
+    dropped(found.index)
+    return out
+
+
+def drop_exact_copies(docs: DataFrame, keep: str = "min", text: str = "text", width: int = 32) -> DataFrame:
+    """``docs`` with its own columns, whatever their names, without copies: of equal texts the row with the smallest
+    (``keep="max"``: largest) ``doc_id`` stays, and one row of those that repeat it.
+
+    Null text counts as empty; a row without doc_id stays only if its whole group has none. Unique rows are not shuffled,
+    and of a group's rows only the survivor. An empty table gives an empty result.
+    """
+    return shielded(docs, ("doc_id", text), lambda d: _drop_exact_copies(d, keep, text, width))
 
 
-def _exact_groups(docs: DataFrame, keep: str, width: int, text: str, memtable_rows: int) -> DataFrame:
-    spark = docs.sparkSession
-    index = saved(digest_index(docs, keep, width, memtable_rows), "digests")
-    repeated = index.filter("group_size > 1")
-    bits = spark.sparkContext.broadcast(repeated_filter(repeated))
+def _drop_exact_copies(docs: DataFrame, keep: str, text: str, width: int) -> DataFrame:
     names = docs.columns
-    at = names.index(text)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
-            full = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() for t in b.column(at)]
-            key = np.array([d[:16].ljust(16, "0") for d in (f[: 2 * width] for f in full)], "S16")
-            hashes = np.array([int(k, 16) for k in key.tolist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(full, pa.string()), pa.array(bloom.contains(table, hashes))], [*b.schema.names, "_digest", "_maybe"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.StringType()), T.StructField("_maybe", T.BooleanType())])
-    scanned = docs.mapInArrow(scan, schema)
-    own = lambda doc_id: [*names, doc_id, F.lit(1).cast("long").alias("_group_size"), "_digest"]
-    unique = scanned.filter("not _maybe").select(*own(F.col("doc_id").cast("long").alias("_keep_id")))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    maybe = scanned.filter("_maybe").withColumn("_key", F.substring("_digest", 1, 2 * width)).withColumn("_body", body)
-    best = F.max_by if keep == "max" else F.min_by
-    survivor = maybe.groupBy("_key").agg(best(F.struct("_body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) if keep == "max" else (1 << 63) - 1))).alias("_held"))
-    known = index.select(F.col("digest").alias("_key"), "keep_id", "group_size").join(survivor, "_key")
-    met = saved(maybe.join(known, "_key").withColumn("_same", F.col("_body") == F.col("_held._body")).drop("_held", "_maybe", "_body"), "hits")
-    agg = F.max if keep == "max" else F.min
-    odd = met.filter("not _same").select("_key").distinct()
-    odd = saved(odd, "clashes")
-    if odd.isEmpty():
-        hit = met.select(*names, F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size"), "_digest")
-    else:
-        clear = met.join(odd, "_key", "left_anti").select(*names, F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size"), "_digest")
-        rows = met.join(odd, "_key", "left_semi").withColumn("_body", body)
-        sums = rows.groupBy("_key", "_body").agg(agg(F.col("doc_id").cast("long")).alias("_keep_id"), F.count(F.lit(1)).alias("_group_size"))
-        hit = clear.unionByName(rows.select(*names, "_key", "_body", "_digest").join(sums, ["_key", "_body"]).select(*names, "_keep_id", "_group_size", "_digest"))
-    return unique.unionByName(hit)
-
-
-def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """``docs`` without copies: of equal texts the row with the smallest (``keep="max"``: largest) ``doc_id`` stays, and one row of those that repeat it."""
-
-    def first(d: DataFrame) -> DataFrame:
-        found = exact_groups(d, keep).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")))
-        return found.filter("_group_size = 1").unionByName(found.filter("_group_size > 1").dropDuplicates(["_digest"])).select(*d.columns)
-
-    return shielded(docs, ("doc_id", "text"), first)
+    key = F.substring(digest_of(docs[text]), 1, 2 * width)
+    found = _verified(docs, docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key")), keep, width, text, MEMTABLE_ROWS, HELD_ROWS)
+    dropped(found.index)
+    own = F.xxhash64("key", F.col("doc_id").cast("long"))
+    keepers = found.groups.filter("texts = 1").select("key", F.col("keep_id").alias("doc_id"))
+    survives = among(docs.sparkSession, keepers.select(F.xxhash64("key", "doc_id").alias("h")), "h")
+    rows = docs.withColumn("key", key).withColumns({"maybe": found.repeated(F.xxhash64("key")), "survives": survives(F.xxhash64(own))})
+    unique = rows.filter("not maybe").select(*names)
+    some = rows.filter("maybe and survives").drop("maybe", "survives")
+    held = keepers.select(F.col("key").alias("_key"), F.col("doc_id").alias("_keep"))
+    stay = some.join(held, (F.col("key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))).dropDuplicates(["key"])
+    out = unique.unionByName(stay.select(*names))
+    if found.odd:
+        left = _by_text(docs, found, keep, width, text).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")))
+        out = out.unionByName(left.dropDuplicates(["digest"]).select(*names))
+    return out
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all rows of ``documents``; the largest doc_id stays. Null counts as empty text; rows without
+    doc_id lose against any; repeated rows each give their row; extra columns are not read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept: Column = F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    return exact_groups(docs, keep="max").select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"))
+    found = exact_groups(docs, keep="max")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 OP10_SQL = """

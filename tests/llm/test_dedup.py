@@ -1,6 +1,8 @@
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -121,44 +123,54 @@ def test_hashes_tell_words_apart():
 # --- exact copies ---
 
 
-def test_exact_dedup_matches_groups(spark):
+def test_exact_dedup_matches_groups(spark, monkeypatch):
     rows = corpus(3) + [(5000, "Same"), (5001, "same"), (5002, "Same"), (5002, "Same"), (None, "Same"), (None, "alone")]
-    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, _digest string").repartition(6)
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, digest string").repartition(6)
     groups = defaultdict(list)
     for i, t in rows:
         groups[t or ""].append(i)
-    for keep, best in (("max", max), ("min", min)):
-        got = exact_dedup.exact_groups(docs, keep=keep).collect()
-        assert len(got) == len(rows)
-    got = [(tuple(r)[0], tuple(r)[3], tuple(r)[4]) for r in exact_dedup.exact_groups(docs, keep="max").collect()]
-    want = [(i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""])) for i, t in rows]
-    key = lambda r: str(r)
-    assert sorted(got, key=key) == sorted(want, key=key)
-    kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted(groups)
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    for keep, best, hot in (("max", max, 10_000), ("min", min, 2)):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)  # both ways to join
+        got = [tuple(r) for r in exact_dedup.exact_groups(docs, keep=keep).collect()]
+        want = [(i, best((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        kept = exact_dedup.drop_exact_copies(docs, keep)
+        assert kept.columns == docs.columns and sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect()) == sorted((best((x for x in g if x is not None), default=-1), t) for t, g in groups.items())
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
 
 
 def test_equal_digests_of_different_texts(spark):
     """One byte of digest: bytes decide."""
     rows = [(i, f"text {i % 300}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r._keep_id, r._group_size) for r in exact_dedup.exact_groups(docs, keep="min", width=1, memtable_rows=50).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, keep="min", width=1, memtable_rows=50).collect()}
     assert got == {i: (i % 300, 3) for i in range(900)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs, width=1).collect()) == list(range(300))
 
 
-def test_merge_index_flushes_runs():
+@pytest.mark.parametrize("held", [40, 10_000])
+def test_merge_index_flushes_and_merges_runs(held):
     rng = random.Random(1)
-    keys = [hashlib.sha256(str(rng.randrange(200)).encode()).hexdigest().encode() for _ in range(2000)]
-    index = exact_dedup.MergeIndex("min", memtable_rows=16)
-    for i, k in enumerate(keys):
-        index.put(k, None if i % 7 == 0 else i)
-    assert len(index.runs) > 3
-    digests, ids, counts = next(index.compacted())
-    assert digests.tolist() == sorted(set(keys))
-    for d, i, n in zip(digests.tolist(), ids, counts):
-        own = [j for j, k in enumerate(keys) if k == d]
-        assert n == len(own) and i == min((j for j in own if j % 7), default=None)
+    keys = np.array([hashlib.sha256(str(rng.randrange(200)).encode()).hexdigest() for _ in range(2000)], "S")
+    known = np.arange(2000) % 7 > 0
+    index = exact_dedup.MergeIndex("min", memtable_rows=16, held_rows=held)
+    out, most = [], 0
+    for k in range(0, 2000, 25):
+        out += index.put(keys[k : k + 25], np.arange(k, k + 25), known[k : k + 25])
+        most = max(most, len(index.runs))
+        assert sum(len(r.digests) for r in index.runs) <= held + 25
+    out += index.compacted()
+    assert (most > 1 or held == 40) and (len(out) > 3) == (held == 40)
+    found = defaultdict(list)
+    for run in out:
+        assert run.digests.tolist() == sorted(set(run.digests.tolist()))
+        for d, i, k, n in zip(run.digests.tolist(), run.ids.tolist(), run.known.tolist(), run.counts.tolist()):
+            found[d].append((i if k else None, n))
+    assert set(found) == set(keys.tolist())
+    for d, parts in found.items():
+        own = np.flatnonzero(keys == d)
+        assert sum(n for _, n in parts) == len(own)
+        assert min((i for i, _ in parts if i is not None), default=None) == min((j for j in own.tolist() if j % 7), default=None)
 
 
 # --- benchmark passages ---
@@ -204,3 +216,24 @@ def test_contamination_matches_brute_force(spark):
     assert cut.count() == len(docs) and not any(brute_contamination(r.text, items)[-1] for r in cut.collect())
     assert {r.n_hit for r in decontaminate.contamination(d, b.limit(0)).collect()} == {0}
     assert decontaminate.contamination(d.limit(0), b).count() == 0
+    for block_bytes in (100, 1 << 20):
+        left = decontaminate.decontaminate(d, b, block_bytes=block_bytes)
+        assert sorted(r.doc_id for r in left.collect()) == sorted(w[0] for w in want if not w[-1])
+        cut = decontaminate.decontaminate(d.withColumnRenamed("doc_id", "_row"), b, remove="spans", block_bytes=block_bytes)
+        assert cut.columns == ["_row", "text"] and sum(len((r.text or "").split()) for r in cut.collect()) < sum(len((t or "").split()) for _, t in docs)
+    assert decontaminate.decontaminate(d, b.limit(0)).count() == len(docs) and decontaminate.decontaminate(d.limit(0), b).count() == 0
+
+
+def test_gram_set_is_small_and_long_items_are_cut(spark):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(180_000))
+    tracemalloc.start()
+    grams = decontaminate.GramSet([(1, text)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 8 * len(text) + (30 << 20) and len(pickle.dumps(grams)) < 8 * len(text)  # the kernels keep tables of their own
+    short = " ".join(text.split()[:300])
+    parts = list(decontaminate.blocks(spark.createDataFrame([(7, short), (8, "x y")], "item_id long, text string"), 200))
+    assert all(sum(len(t) for _, t in p) <= 200 + 60 for p in parts) and len(parts) > 5
+    windows = lambda t: {tuple(t.split()[i : i + 10]) for i in range(len(t.split()) - 9)}
+    assert set().union(*(windows(t) for p in parts for i, t in p if i == 7)) == windows(short)
