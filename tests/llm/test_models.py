@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 
@@ -78,7 +80,7 @@ def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(bad))
         rows.append((i, " ".join(words)))
         labels.append((i, int(y), 1))
-    rows += [(1000, "du grobsack " + text(rng, "bb", 12) + " grobian"), (1001, None), (1002, ""), (1003, "grobian " * 3000)]
+    rows += [(1000, "du grobsack " + text(rng, "bb", 12) + " grobian"), (1001, None), (1002, ""), (1003, "grobian " * 3000), (1004, "7 --")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame(labels + [(5, 1, 0), (5, 0, 0), (None, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
     held = language.held_out(lab.doc_id, 3, 1)
@@ -86,9 +88,12 @@ def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
     got = {r.doc_id: (r.score, r.evidence) for r in toxicity.score(docs, model).select("doc_id", "score", "evidence").collect()}
     assert np.mean([(got[i][0] >= 0.7) == (i % 6 == 0) for i in range(600)]) > 0.97
     assert got[1000][0] >= 0.7 and got[1000][1][0].label == 1 and got[1003][0] >= 0.7
-    assert got[1001][0] == got[1002][0] == model.base < 0.2
+    assert got[1001][0] == got[1002][0] == got[1004][0] == model.base < 0.5 and got[1001][1] == []
+    clash = toxicity.score(docs.withColumnRenamed("doc_id", "evidence"), model)
+    assert clash.columns == ["evidence", "text", "score"] and clash.count() == len(rows)
     empty = toxicity.fit(docs, lab.limit(0))
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, empty).select("score").collect())
+    assert toxicity.score(docs.limit(0), model).count() == 0
 
 
 def test_toxicity_finds_rare_insults_and_copies():
@@ -106,43 +111,85 @@ def test_toxicity_finds_rare_insults_and_copies():
     assert np.mean([s >= 0.7 for s, _ in fresh[::3]]) > 0.9 and np.mean([s >= 0.7 for s, _ in fresh[1::3] + fresh[2::3]]) < 0.02
     known = [r for r in toxicity.families(rows)][:300]
     for (i, _, y), (s, near) in zip(known, run([t for _, t, _ in known])):
-        best = max(near, key=lambda e: e["cosine"])
-        assert best["doc_id"] == i and abs(best["cosine"] - 1) < 1e-6 and (s >= 0.7) == (y == 1)
+        assert near[0]["doc_id"] == i and abs(near[0]["cosine"] - 1) < 1e-6 and (s >= 0.7) == (y == 1)
 
 
-def test_toxicity_search_over_all_terms_is_exact():
+def test_toxicity_scores_match_brute_force():
+    """Terms, weights, cosines, neighbours, vote, calibration and copies by the definition, with dictionaries."""
+    rng = random.Random(5)
+    make = lambda y: " ".join(rng.choice(["Apfel", "birne", "baum", "Haus", "gartenzaun", "é日本", "x1"] + ["Lump", "lumpig"] * 2 * y) for _ in range(rng.randint(1, 12)))
+    rows = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(240)]
+    model = toxicity.train(rows)
+    rows = toxicity.families(rows)
+
+    def terms(t):
+        out = Counter()
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)):
+            out[0, w.encode()] += 1
+            for n in toxicity.PREFIXES:
+                if len(w.encode()) > n:
+                    out[n, w.encode()[:n]] += 1
+        return out
+
+    bags, y = [terms(t) for _, t, _ in rows], [r[2] for r in rows]
+    df, pos = Counter(x for b in bags for x in b), Counter(x for b, k in zip(bags, y) if k for x in b)
+    share = sum(y) / len(y)
+    weight = {x: math.log((1 + len(y)) / n) * (toxicity.LEAST + max(0, (pos[x] - n * share) / math.sqrt(n * share * (1 - share) + 1)) / 10) for x, n in df.items()}
+
+    def vector(bag):
+        v = {x: (1 + math.log(n)) * weight[x] for x, n in bag.items() if x in weight}
+        norm = math.sqrt(sum(z * z for z in v.values()))
+        return {x: z / norm for x, z in v.items()}
+
+    vectors = [vector(b) for b in bags]
+    texts = [make(i % 2) for i in range(70)] + ["", "unknown words only", rows[3][1]]
+    raw = [t.encode() for t in texts]
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    for t, (s, near) in zip(texts, got):
+        v = vector(terms(t))
+        cos = sorted(((sum(z * u.get(x, 0) for x, z in v.items()), i) for i, u in enumerate(vectors)), reverse=True)
+        want = [(c, i) for c, i in cos if c > 0][: toxicity.NEIGHBOURS]
+        np.testing.assert_allclose([e["cosine"] for e in near], [c for c, _ in want], rtol=1e-5)
+        assert all(e["label"] == y[[r[0] for r in rows].index(e["doc_id"])] for e in near)
+        if not want:
+            assert s == model.base
+            continue
+        vote = sum(e["cosine"] * (2 * e["label"] - 1) for e in near) / (sum(e["cosine"] for e in near) + toxicity.FAR)
+        p = 1 / (1 + math.exp(-(model.slope * vote + model.offset)))
+        assert abs(s - (p + near[0]["cosine"] ** toxicity.COPY_POWER * (near[0]["label"] - p))) < 1e-9
+
+
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(1)
-    n, v, k = 300, 400, 10
+    n, v, k = 700, 400, 10
     dense = np.where(rng.random((n, v)) < rng.choice([0.01, 0.3], v), rng.random((n, v)), 0)
-    index = toxicity.ExampleIndex.of(n, *np.nonzero(dense), dense[dense > 0], v)
+    dense[:, 30:60] *= np.arange(n)[:, None] % 7 == 0
+    ids = rng.permutation(n)
+    index = toxicity.BlockMaxIndex.of(ids, ids % 2, *np.nonzero(dense), dense[dense > 0], v)
     x = np.where(rng.random((100, v)) < 0.1, rng.random((100, v)), 0) * (np.arange(100) > 0)[:, None]
+    x[50:, 30:60] = rng.random((50, 30)) * 4
     x /= 2 * np.maximum(1, dense @ x.T).max(0)[:, None]
     rows, terms = np.nonzero(x)
-    got = list(index.search(np.searchsorted(rows, np.arange(101)), terms, x[x > 0], k))
     cos = dense.astype(np.float32).astype(float) @ x.T
-    assert len(got) == 100 and not len(got[0][0])
-    for i, (found, cosines) in enumerate(got[1:], 1):
-        want = np.lexsort((np.arange(n), -cos[:, i]))[:k]
-        assert found.tolist() == want.tolist()
-        np.testing.assert_allclose(cosines, cos[want, i], rtol=1e-12)
-
-
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(0)
-    n, v = 500, 40
-    rows, terms = np.nonzero(rng.random((n, v)) < 0.1)
-    w = rng.random(len(rows))
-    index = toxicity.BlockMaxIndex.of(np.arange(n), rng.integers(0, 2, n), terms, rows, w, v)
-    dense = np.zeros((n, v))
-    dense[rows, terms] = w
-    for _ in range(30):
-        t = np.sort(rng.choice(v, 5, replace=False))
-        x = rng.random(5)
-        cos = dense[:, t] @ x
-        found, got = index.search(t, x, 10, without=3)
-        cos[3] = 0
-        want = np.lexsort((np.arange(n), -cos))[:10]
-        np.testing.assert_allclose(got, cos[want], rtol=1e-5)
+    for first in (1, 3, 6):
+        monkeypatch.setattr(toxicity, "FIRST", first)
+        got = list(index.search(np.searchsorted(rows, np.arange(101)), terms, x[x > 0], k))
+        assert len(got) == 100 and not len(got[0][0])
+        for i, (found, cosines) in enumerate(got[1:], 1):
+            want = np.lexsort((ids, -cos[:, i]))[:k]
+            assert index.ids[found].tolist() == ids[want].tolist() and (index.labels[found] == index.ids[found] % 2).all()
+            np.testing.assert_allclose(cosines, cos[want, i], rtol=1e-12)
+
+
+def test_toxicity_reads_long_texts_in_parts(monkeypatch):
+    rng = random.Random(6)
+    long = text(rng, "bb", 5000)
+    data, offsets = np.frombuffer((long + "x y").encode(), np.uint8), np.array([0, len(long.encode()), len(long.encode()) + 3])
+    whole = sorted(zip(*(x.tolist() for x in toxicity.term_hashes(data, offsets))))
+    monkeypatch.setattr(K, "SLICE", 500)
+    parts = list(toxicity.pieces(data, offsets))
+    assert len(parts) > 10 and max(len(d) for _, d, _ in parts) <= 1100
+    assert sorted((h, r + i) for i, d, o in parts for h, r in zip(*(x.tolist() for x in toxicity.term_hashes(d, o)))) == whole
 
 
 def test_pii_base_spans_match_regular_expressions():
