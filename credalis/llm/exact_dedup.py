@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 
 from credalis.llm import bloom
 from credalis.llm import kernel as K
+from credalis.llm.skew import joined
 from credalis.llm.store import dropped, saved, shielded, table
 
 #: Rows of a memtable, and digests that a task holds in runs.
 MEMTABLE_ROWS, HELD_ROWS = 1 << 16, 1 << 19
-#: Digests with more than this share of all copies are joined by a broadcast; there are at most so many.
-HOT = 10_000
 
 
 @dataclass
@@ -189,15 +188,6 @@ def _verified(docs: DataFrame, rows: DataFrame, keep: str, width: int, text: str
     return Groups(repeated, groups, not groups.filter("texts > 1").isEmpty(), index)
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is one of ``groups``, with ``keep_id`` and ``group_size``."""
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    known = groups.select("key", "keep_id", "group_size")
-    hot = F.broadcast(known.filter(F.col("group_size") * HOT > total))
-    cold = rows.join(hot.select("key"), "key", "left_anti").join(known.filter(F.col("group_size") * HOT <= total), "key")
-    return rows.join(hot, "key").unionByName(cold)
-
-
 def _by_text(docs: DataFrame, found: Groups, keep: str, width: int, text: str) -> DataFrame:
     """The rows of ``docs`` whose digest several texts share, with ``key``, ``digest``, ``keep_id`` and ``group_size`` by the text."""
     best = F.max if keep == "max" else F.min
@@ -220,7 +210,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", width: int = 32, text: str
     rows = rows.withColumn("maybe", found.repeated(F.xxhash64("key")))
     columns = ["doc_id", "keep_id", "group_size", "digest"]
     unique = rows.filter("not maybe").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    out = unique.unionByName(_with_groups(rows.filter("maybe").drop("maybe"), found.groups.filter("texts = 1")).withColumnRenamed("id", "doc_id").select(*columns))
+    out = unique.unionByName(joined(rows.filter("maybe").drop("maybe"), found.groups.filter("texts = 1").withColumn("rows", F.col("group_size")).drop("texts"), ["key"], "rows", ["id"]).withColumnRenamed("id", "doc_id").select(*columns))
     if found.odd:
         out = out.unionByName(_by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias(text)), found, keep, width, text).select(*columns))
     dropped(found.index)

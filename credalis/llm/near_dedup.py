@@ -12,21 +12,26 @@ Texts with equal shingle sets are one class from the start. The classes that sha
    the members of large ones meet again by the first of the key's two bands, in blocks of bounded size inside one task,
    which emits no more links than it has members.
 
-No bucket is capped. Exact set sizes are compared first, since the smaller set must have 80 % of the larger.
+No bucket is capped. Exact set sizes are compared first, since the smaller set must have 80 % of the larger. Keys, hubs and
+classes with more than a ten-thousandth of all rows are joined where their rows are (``skew``).
+
+Sets are sets of 64-bit hashes of shingles, which every link is confirmed on; classes are told by the size and a 128-bit
+digest of the whole sorted set. Two texts of 10,000 shingles each have a common hash of different shingles once in 10^11 pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credalis.llm import bloom
 from credalis.llm import kernel as K
+from credalis.llm.skew import joined
 from credalis.llm.store import dropped, saved, shielded, table
 
 BANDS = 14
@@ -55,7 +60,7 @@ def band_values(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, bands)`` of each row; the two sums tell equal sets. Bands are null for empty sets."""
+    """``(doc_id, n_shingles, set_a, set_b, bands)`` of each row; the digest of the sorted set (two numbers) tells equal sets. Bands are empty for empty sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,10 +72,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 if full:
                     some = [sets[n] for n in full]
                     bands = band_values(some)
-                    every = np.concatenate(some)
-                    starts = np.concatenate(([0], np.cumsum([len(s) for s in some])[:-1]))
-                    sums[0, full] = np.add.reduceat(K.mix(every), starts)
-                    sums[1, full] = np.add.reduceat(K.mix(every ^ np.uint64(0x5DEECE66D1234567)), starts)
+                    sums[:, full] = np.frombuffer(b"".join([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in some]), np.uint64).reshape(-1, 2).T
                 has = np.zeros(j - i, bool)
                 has[full] = True
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has) * BANDS)).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
@@ -137,11 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
             return out
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = saved(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        near = large.groupBy("a").agg(F.min("b").alias("b"))
-        turned = large.join(near.withColumnRenamed("b", "m"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = saved(near.unionByName(turned).distinct(), "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = saved(joined(both, least, ["a"], "n", ["b"], total=2 * now[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        near = large.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+        turned = joined(large, near.withColumnRenamed("b", "m"), ["a"], "n", ["b"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = saved(near.drop("n").unionByName(turned).distinct(), "edges")
         dropped(e, large)
         e = small
 
@@ -230,13 +232,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     the same doc_id are one node. A null doc_id takes the component of its equals, else null, and counts as kept there.
     An empty table gives an empty result; other columns are not read.
     """
-    sign = saved(signatures(docs, k), "signatures")
-    classes = sign.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    signed = sign = saved(signatures(docs, k), "signatures")
+    classes = sign.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     classes = saved(classes, "classes")
     pairs_of_bands = [(i, j) for i in range(BANDS) for j in range(i + 1, BANDS)]
     keys = classes.filter("node is not null").select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.col("bands")[i], F.col("bands")[j]).alias("key"), F.lit(i).cast("byte").alias("i")) for t, (i, j) in enumerate(pairs_of_bands)])).alias("k")).select("node", "n", "k.key", "k.i")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter("c > 1")
-    met = saved(keys.join(heads, "key"), "buckets")
+    heads = saved(heads.withColumn("rows", F.col("c")), "heads")
+    met = saved(joined(keys, heads, ["key"], "rows", ["node"]), "buckets")
+    dropped(heads)
 
     sizes = classes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     star = met.filter("node <> head").select("node", "n", "head").distinct().join(sizes.withColumnRenamed("node", "head"), "head")
@@ -268,39 +272,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dropped(met, rest, pairs, large, sets, more)
     second = bridges.select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    rooted = classes.select("set_a", "set_b", "n_shingles", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(second, "root", "left")
-    rooted = rooted.select("set_a", "set_b", "n_shingles", F.coalesce("top", "root").alias("component_id"))
-    out = sign.drop("bands").join(rooted, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-    out._credalis_reads = (sign, classes, first, bridges)
+    rooted = classes.select("set_a", "set_b", "n_shingles", "node", "rows").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(second, "root", "left")
+    rooted = saved(rooted.select("set_a", "set_b", "n_shingles", F.coalesce("top", "root").alias("component_id"), "rows"), "roots")
+    dropped(classes, first, bridges)
+    sign = sign.drop("bands")
+    found = joined(sign.filter("n_shingles > 0"), rooted, ["set_a", "set_b", "n_shingles"], "rows", ["doc_id"], "left").select("doc_id", "n_shingles", "component_id")
+    out = found.unionByName(sign.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out._credalis_reads = (signed, rooted)
     return out
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with its own columns: of each group of near-duplicates the document with the smallest doc_id stays. Rows that repeat its doc_id stay too."""
+    """``docs`` with its own columns, whatever their names: of each group of near-duplicates the document with the smallest doc_id
+    stays. Rows that repeat its doc_id stay too, as do texts without words and rows without doc_id whose group has none."""
     return shielded(docs, ("doc_id", "text"), lambda d: _drop_near_copies(d, k, percent))
 
 
 def _drop_near_copies(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    names = docs.columns
     found = near_duplicates(docs, k, percent)
     gone = saved(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     dropped(*found._credalis_reads)
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build_distributed(gone, *bloom.halves(F.xxhash64("_gone"))))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
-            maybe = bloom.contains(table_, b.column(len(names)).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(maybe)], [*names, "_maybe"])
-
-    seen = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+    maybe = F.arrow_udf(lambda h: pa.array(bloom.contains(np.frombuffer(bits.value, np.uint8), h.to_numpy().view(np.uint64)), pa.bool_()), "boolean")
+    seen = docs.withColumn("_maybe", maybe(F.xxhash64(F.col("doc_id").cast("long"))))
     kept = seen.filter("not _maybe").drop("_maybe")
     return kept.unionByName(seen.filter("_maybe").drop("_maybe").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all rows of ``documents``, by shingles of four words. Null, empty and blank texts have no
+    shingles and stand alone; rows that repeat a doc_id are one node; extra columns are not read."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 

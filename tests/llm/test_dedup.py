@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from credalis.llm import decontaminate, exact_dedup, near_dedup
+from credalis.llm import decontaminate, exact_dedup, near_dedup, skew
 from credalis.llm import kernel as K
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -60,7 +60,8 @@ def corpus(seed=0):
 
 
 @pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates_match_brute_force(spark, k):
+def test_near_duplicates_match_brute_force(spark, k, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", {4: 10_000, 5: 4}[k])  # nearly all keys hot, or none
     rows = corpus(k)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=k).collect()
     want = brute_components(rows, k)
@@ -92,6 +93,17 @@ def test_large_keys_compare_all_texts_of_a_repeated_doc_id(spark):
     assert sorted(sorted((r.a, r.b)) for r in got) == [[1, 5], [2, 5]]
 
 
+def test_joins_with_hot_keys(spark, monkeypatch):
+    left = spark.createDataFrame([(i, 7 if i % 3 else i % 10, f"v{i}") for i in range(300)], "id long, k long, v string")
+    right = spark.createDataFrame([(k, f"r{k}", 200 if k == 7 else 10) for k in (0, 3, 7, 8)], "k long, r string, n long")
+    for hot in (1, 4, 10_000):
+        monkeypatch.setattr(skew, "HOT", hot)
+        for how in ("inner", "left"):
+            want = left.join(right.drop("n"), "k", how).select("id", "k", "v", "r")
+            got = skew.joined(left, right, ["k"], "n", ["id"], how)
+            assert got.columns == ["id", "k", "v", "r"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_near_dedup_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0
@@ -130,7 +142,7 @@ def test_exact_dedup_matches_groups(spark, monkeypatch):
     for i, t in rows:
         groups[t or ""].append(i)
     for keep, best, hot in (("max", max, 10_000), ("min", min, 2)):
-        monkeypatch.setattr(exact_dedup, "HOT", hot)  # both ways to join
+        monkeypatch.setattr(skew, "HOT", hot)  # both ways to join
         got = [tuple(r) for r in exact_dedup.exact_groups(docs, keep=keep).collect()]
         want = [(i, best((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
         assert sorted(got, key=str) == sorted(want, key=str)
