@@ -98,8 +98,9 @@ def do_query(net: BayesianNetwork, variables: Sequence[str], do: dict[str, objec
 
 
 def adjusted(data: DataFrame, x: str, y: str, z: Sequence[str]) -> DataFrame:
-    """``(x, y, p)``: P(y | do(x)) from data by the backdoor formula, in one plan."""
+    """``(x, y, p)``: P(y | do(x)) from data by the backdoor formula, in one plan. Rows with a null in x, y or z don't count."""
     z = list(z)
+    data = data.dropna(subset=[x, y, *z])
     n = F.count(F.lit(1)).cast("double")
     xyz = data.groupBy(q(x), q(y), *map(q, z)).agg(n.alias("nxyz"))
     xz = data.groupBy(q(x), *map(q, z)).agg(n.alias("nxz"))
@@ -110,7 +111,8 @@ def adjusted(data: DataFrame, x: str, y: str, z: Sequence[str]) -> DataFrame:
 
 
 def frontdoor_adjusted(data: DataFrame, x: str, m: str, y: str) -> DataFrame:
-    """``(x, y, p)``: sum over m of P(m | x) sum over x' of P(y | x', m) P(x')."""
+    """``(x, y, p)``: sum over m of P(m | x) sum over x' of P(y | x', m) P(x'). Rows with a null in x, m or y don't count."""
+    data = data.dropna(subset=[x, m, y])
     n = F.count(F.lit(1)).cast("double")
     nx = data.groupBy(q(x)).agg(n.alias("nx"))
     nxm = data.groupBy(q(x), q(m)).agg(n.alias("nxm"))

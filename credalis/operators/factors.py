@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from credalis.functions.random import uniform
 
 VALUE = "value"
+#: Combinations of states that the driver lists.
+LOCAL_ROWS = 100_000
 
 
 def q(name: str) -> Column:
@@ -174,15 +176,16 @@ class Factor:
         both = self.df.join(other.df.withColumnRenamed(VALUE, "_other"), self.variables, "full") if self.variables else self._pair(other)[0]
         return both.filter(q(VALUE).isNull() | q("_other").isNull() | (F.abs(q(VALUE) - q("_other")) > atol)).isEmpty()
 
-    def sample(self, n: int, seed: int = 0) -> DataFrame:
-        """``n`` draws of the states, by the inverse of the cumulated values."""
+    def sample(self, n: int, seed: int = 0, keep_id: bool = False) -> DataFrame:
+        """``n`` draws of the states, by the inverse of the cumulated values; ``keep_id``: with their numbers as ``_id``."""
         rows = self.df.orderBy(*self.rank()).collect()
         total = np.cumsum([r[VALUE] for r in rows])
         cum = F.array(*[F.lit(float(x)) for x in total / total[-1]])
         u = uniform(F.col("id"), seed)
         base = self.df.sparkSession.range(n).withColumn("_u", u)
         at = F.least(F.size(F.filter(cum, lambda c: c <= q("_u"))), F.lit(len(rows) - 1)) + 1
-        return base.withColumn("_k", at).select(*[F.element_at(F.array(*[F.lit(r[v]) for r in rows]), q("_k")).alias(v) for v in self.variables])
+        own = [F.col("id").alias("_id")] if keep_id else []
+        return base.withColumn("_k", at).select(*own, *[F.element_at(F.array(*[F.lit(r[v]) for r in rows]), q("_k")).alias(v) for v in self.variables])
 
     @classmethod
     def from_data(cls, data: DataFrame, variables: Sequence[str], states: dict[str, list] | None = None) -> Factor:
@@ -193,7 +196,14 @@ class Factor:
 
 
 def grid(spark: SparkSession, variables: Sequence[str], states: dict[str, list]) -> DataFrame:
-    """All combinations of the states."""
+    """All combinations of the states; many of them are made by Spark."""
+    if math.prod(len(states[v]) for v in variables) > LOCAL_ROWS:
+        parts = sorted(variables, key=lambda v: -len(states[v]))
+        out = relation(spark, {parts[0]: states[parts[0]]}).repartition(spark.sparkContext.defaultParallelism)
+        for v in parts[1:]:
+            # one row for each state
+            out = out.crossJoin(F.broadcast(relation(spark, {v: states[v]})))
+        return out.select(*map(q, variables))
     rows = list(itertools.product(*(states[v] for v in variables)))
     return relation(spark, {v: [r[i] for r in rows] for i, v in enumerate(variables)}) if variables else spark.range(1).select()
 

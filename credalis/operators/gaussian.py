@@ -17,35 +17,44 @@ from credalis.plans.graph import DAG
 
 @dataclass
 class Gram:
-    """Row count, sums and sums of products of the columns: all that least squares needs, from one aggregate."""
+    """Row count, means and sums of products around the means: all that least squares needs, from two scans. The first finds
+    the means, so that columns far from zero keep their digits."""
 
     names: list[str]
     n: int
-    sums: np.ndarray
-    products: np.ndarray
+    means: np.ndarray
+    centred: np.ndarray
 
     @classmethod
     def of(cls, data: DataFrame, names: Sequence[str] | None = None) -> Gram:
         names = list(names or data.columns)
         rows = data.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).dropna()
         k = len(names)
-        aggs = [F.count(F.lit(1))] + [F.sum(f"c{i}") for i in range(k)] + [F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i in range(k) for j in range(i, k)]
-        row = rows.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
-        flat = [float(x or 0) for x in row[1:]]
+        first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
+        n, at = int(first[0]), [float(x or 0) for x in first[1:]]
+        off = [F.col(f"c{i}") - F.lit(m) for i, m in enumerate(at)]
+        # the means are rounded: what is left of the sums is taken out again
+        aggs = [F.sum(x) for x in off] + [F.sum(off[i] * off[j]) for i in range(k) for j in range(i, k)]
+        flat = [float(x or 0) for x in rows.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()]
+        left = np.array(flat[:k]) / max(1, n)
         products = np.zeros((k, k))
         products[np.triu_indices(k)] = flat[k:]
-        return cls(names, int(row[0]), np.array(flat[:k]), products + np.triu(products, 1).T)
+        return cls(names, n, np.array(at) + left, products + np.triu(products, 1).T - n * np.outer(left, left))
+
+    @property
+    def products(self) -> np.ndarray:
+        """Sums of products of the columns as they are."""
+        return self.centred + self.n * np.outer(self.means, self.means)
 
     def _at(self, names: Sequence[str]) -> list[int]:
         return [self.names.index(c) for c in names]
 
     def cov(self, names: Sequence[str] | None = None, ddof: int = 1) -> np.ndarray:
         at = self._at(names or self.names)
-        centred = self.products[np.ix_(at, at)] - np.outer(self.sums[at], self.sums[at]) / self.n
-        return centred / (self.n - ddof)
+        return self.centred[np.ix_(at, at)] / (self.n - ddof)
 
     def mean(self, names: Sequence[str] | None = None) -> np.ndarray:
-        return self.sums[self._at(names or self.names)] / self.n
+        return self.means[self._at(names or self.names)]
 
     def regress(self, target: str, on: Sequence[str]) -> tuple[float, np.ndarray, float]:
         """(intercept, slopes, residual sum of squares)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,19 @@ def fisher_c(dag: DAG, tests) -> float:
     return chi2_tail(c, 2 * len(pairs))
 
 
-def correlation_score(dag: DAG, tests, level: float = 0.05) -> float:
-    """F1 of the tests' dependence against d-connection, over all pairs."""
+def f1(truth: Sequence[bool], found: Sequence[bool]) -> float:
+    """Harmonic mean of precision and recall; 0 without any hit."""
+    hit = sum(t and f for t, f in zip(truth, found, strict=True))
+    return 2 * hit / (sum(truth) + sum(found)) if hit else 0.0
+
+
+def correlation_score(dag: DAG, tests, level: float = 0.05, score: Callable[[Sequence[bool], Sequence[bool]], float] = f1, summary: bool = False) -> float | list[tuple[str, str, bool, bool]]:
+    """How well d-separation in the graph predicts the tests' independence, over all pairs. The positive class is independence.
+
+    ``score(truth, prediction)`` gets the tests' answers and the graph's. ``summary``: the rows ``(u, v, independent by the
+    test, d-separated)`` instead.
+    """
     pairs = list(itertools.combinations(dag.nodes, 2))
     tests.prefetch([(u, v, ()) for u, v in pairs])
-    truth = [dag.is_dconnected(u, v) for u, v in pairs]
-    found = [not tests.independent(u, v, (), level) for u, v in pairs]
-    hit = sum(t and f for t, f in zip(truth, found, strict=True))
-    return 2 * hit / (sum(truth) + sum(found)) if sum(truth) + sum(found) else 1.0
+    rows = [(u, v, bool(tests.independent(u, v, (), level)), not dag.is_dconnected(u, v)) for u, v in pairs]
+    return rows if summary else score([r[2] for r in rows], [r[3] for r in rows])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credalis.functions.random import uniform
+from credalis.functions.storage import numbered, written
 from credalis.operators.counts import contingency, family_counts, state_counts, state_names
-from credalis.operators.factors import CPD, VALUE, Factor, JointDistribution, grid, product, q
+from credalis.operators.factors import CPD, LOCAL_ROWS, VALUE, Factor, JointDistribution, grid, product, q
 from credalis.plans import elimination
 from credalis.plans.graph import DAG
 
@@ -53,6 +55,47 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return np.where(total > 0, flat / np.where(total > 0, total, 1), 1 / len(flat))
 
 
+#: Evidence of more columns is written and joined as one value.
+WIDE = 8
+
+
+def joined_back(rows: DataFrame, found: DataFrame, given: list[str]) -> DataFrame:
+    """``rows`` with what was found for their evidence."""
+    if not given:
+        return rows.crossJoin(found)
+    if len(given) <= WIDE:
+        return rows.join(found, given, "left")
+    found = written(found)
+    rest = [q(c) for c in found.columns if c not in given]
+    return rows.withColumn("_e", F.struct(*map(q, given))).join(found.select(F.struct(*map(q, given)).alias("_e"), *rest), "_e", "left").drop("_e")
+
+
+def packed(factors: Sequence[Factor]) -> list[Factor]:
+    """Fewer factors with the same product: small ones are multiplied on the driver, up to ``FREE_ROWS`` rows each."""
+    groups: list[tuple[set[str], list[Factor]]] = []
+    for f in factors:
+        for scope, some in groups:
+            if math.prod(len(s) for s in ({v: s for g in (*some, f) for v, s in g.states.items()}).values()) <= elimination.FREE_ROWS:
+                scope |= f.scope
+                some.append(f)
+                break
+        else:
+            groups.append((set(f.scope), [f]))
+    out = []
+    for _, some in groups:
+        if len(some) == 1:
+            out += some
+            continue
+        states = {v: s for f in some for v, s in f.states.items()}
+        at = {v: i for i, v in enumerate(states)}
+        values = np.ones([len(s) for s in states.values()])
+        for f in some:
+            own = f.values().transpose(np.argsort([at[v] for v in f.variables]))
+            values = values * own.reshape([len(s) if v in f.states else 1 for v, s in states.items()])
+        out.append(Factor.of(some[0].df.sparkSession, list(states), values, states))
+    return out
+
+
 class BayesianNetwork:
     def __init__(self, edges: Iterable[tuple[str, str]] = (), nodes: Iterable[str] = (), latents: Iterable[str] = ()):
         self.dag = DAG(edges, nodes, latents)
@@ -163,20 +206,37 @@ class BayesianNetwork:
         out = [self.cpds[n].to_factor() for n in self.nodes if n in keep] + list(virtual)
         return [f.reduce({v: s for v, s in evidence.items() if v in f.states}) for f in out]
 
-    def _eliminate(self, keep: Sequence[str], factors: list[Factor], order: str | Sequence[str], how=F.sum) -> Factor:
-        """Sums out all other variables, one join and grouped aggregate each."""
+    def _eliminate(self, keep: Sequence[str], factors: list[Factor], order: str | Sequence[str], how=F.sum, lead: Factor | None = None) -> Factor:
+        """Sums out all other variables, one join and grouped aggregate each. ``lead``: the rows of evidence whose columns are
+        kept; steps with many combinations of evidence list only those that occur in it."""
         cards = {v: len(s) for f in factors for v, s in f.states.items()}
         scopes = [f.variables for f in factors]
         hidden = [v for v in cards if v not in keep]
         plan = list(order) if not isinstance(order, str) else elimination.order_by(elimination.scope_graph(scopes), hidden, cards, "MinFill" if order == "greedy" else order)
         if set(plan) != set(hidden):
             raise ValueError(f"the order must list exactly {sorted(hidden)}")
-        if (rows := elimination.largest_step(scopes, plan, cards)) > elimination.MAX_ROWS:
+        given = set(lead.variables) if lead else set()
+        each = cards | dict.fromkeys(given, 1)
+        if (rows := elimination.largest_step(scopes, plan, cards)) > elimination.MAX_ROWS and (not lead or elimination.largest_step(scopes, plan, each) > elimination.MAX_ROWS_EACH):
             raise ValueError(f"an intermediate table would have {rows} rows; sample instead")
+
+        def joined(some: list[Factor], whole: bool = False) -> Factor:
+            own = [v for v in (lead.variables if lead else []) if whole or any(v in f.states for f in some)]
+            if not own or not whole and math.prod(cards[v] for v in own) <= elimination.FREE_ROWS:
+                return product(*some)
+            first = lead if whole else Factor(lead.df.select(*map(q, own)).distinct().withColumn(VALUE, F.lit(1.0)), own, lead.states)
+            # each table joins on the evidence or on what is joined already
+            left, out = packed(some), first
+            while left:
+                f = next((f for f in left if out.scope & f.scope), left[0])
+                left.remove(f)
+                out = out.product(f)
+            return out
+
         for v in plan:
             touched = [f for f in factors if v in f.states]
-            factors = [f for f in factors if v not in f.states] + [product(*touched)._fold([v], how)]
-        out = product(*factors)
+            factors = [f for f in factors if v not in f.states] + [joined(touched)._fold([v], how)]
+        out = joined(factors, whole=lead is not None)
         return Factor(out.df, list(keep), out.states) if keep else out
 
     def query(self, variables: Sequence[str], evidence: dict[str, object] | None = None, virtual_evidence: Sequence[Factor] = (), order: str | Sequence[str] = "greedy", joint: bool = True) -> Factor | dict[str, Factor]:
@@ -212,52 +272,75 @@ class BayesianNetwork:
     # --- many rows at once ---
 
     def posterior_table(self, evidence_rows: DataFrame, variables: Sequence[str]) -> Factor:
-        """P(variables | row) for all evidence rows at once: the evidence columns are grouping keys that are never summed out."""
+        """P(variables | row) for all evidence rows at once: the evidence columns are grouping keys that are never summed out, and
+        only combinations that occur are listed. Rows with a null are left out."""
         given = evidence_rows.columns
-        lead = Factor(evidence_rows.dropna().distinct().withColumn(VALUE, F.lit(1.0)), given, {g: self.states[g] for g in given})
+        rows = evidence_rows.dropna().distinct()
+        # the optimizer compares all expressions of wide rows with each other; a table has none
+        rows = written(rows) if len(given) > WIDE else rows
+        lead = Factor(rows.withColumn(VALUE, F.lit(1.0)), given, {g: self.states[g] for g in given}) if given else None
         keep = self.dag.ancestors({*variables, *given})
         factors = [self.cpds[n].to_factor() for n in self.nodes if n in keep]
-        if given:
-            factors.append(lead)
-        out = self._eliminate([*given, *variables], factors, "greedy")
+        out = self._eliminate([*given, *variables], factors, "greedy", lead=lead)
         total = F.sum(VALUE).over(Window.partitionBy(*map(q, given)))
         return Factor(out.df.withColumn(VALUE, q(VALUE) / F.nullif(total, F.lit(0.0))), out.variables, out.states)
 
-    def predict_probability(self, data: DataFrame) -> DataFrame:
-        """``data`` with a column ``variable_state`` for each state of each missing variable: its posterior given the row."""
+    def _by_missing(self, data: DataFrame, f: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+        """``f(rows, given)`` for the rows of each pattern of nulls among the evidence columns, together: a missing value is summed out."""
         given = [c for c in data.columns if c in self.dag.pa]
-        missing = [n for n in self.nodes if n not in given]
-        rows = data.select(*map(q, given)).distinct()
-        out = data
-        for v in missing:
-            post = self.posterior_table(rows, [v]).df
-            wide = post.groupBy(*map(q, given)).agg(*[F.max(F.when(q(v) == F.lit(s), q(VALUE))).alias(f"{v}_{s}") for s in self.states[v]])
-            out = out.join(wide, given, "left") if given else out.crossJoin(wide)
-        return out
+        if not any(data.schema[c].nullable for c in given):
+            return f(data, given)
+        gone = F.concat_ws(",", *[F.when(q(c).isNull(), F.lit(str(i))) for i, c in enumerate(given)])
+        patterns = sorted(r[0] for r in data.select(gone.alias("g")).distinct().collect())
+        if patterns in ([], [""]):
+            return f(data, given)
+        out = [f(data.filter(gone == p), [c for i, c in enumerate(given) if str(i) not in p.split(",")]) for p in patterns]
+        return functools.reduce(DataFrame.unionByName, out)
+
+    def predict_probability(self, data: DataFrame) -> DataFrame:
+        """``data`` with a column ``variable_state`` for each state of each missing variable: its posterior given the row. A null
+        in an evidence column is summed out. Evidence of probability 0 gives nulls."""
+        missing = [n for n in self.nodes if n not in data.columns]
+
+        def one(part: DataFrame, given: list[str]) -> DataFrame:
+            rows, out = part.select(*map(q, given)).distinct(), part
+            for v in missing:
+                post = self.posterior_table(rows, [v]).df
+                wide = post.groupBy(*map(q, given)).agg(*[F.max(F.when(q(v) == F.lit(s), q(VALUE))).alias(f"{v}_{s}") for s in self.states[v]])
+                out = joined_back(out, wide, given)
+            return out.select(*map(q, data.columns), *[q(f"{v}_{s}") for v in missing for s in self.states[v]])
+
+        return self._by_missing(data, one)
 
-    def predict(self, data: DataFrame, stochastic: bool = False, seed: int = 0) -> DataFrame:
+    def predict(self, data: DataFrame, stochastic: bool = False, seed: int = 0, key: str | None = None) -> DataFrame:
         """``data`` with its missing variables: the most likely joint assignment given each row (first in row-major order of
-        ties), or a draw from the posterior. Each distinct evidence is worked out once and joined back."""
-        given = [c for c in data.columns if c in self.dag.pa]
-        missing = [n for n in self.nodes if n not in given and n not in self.dag.latents]
-        post = self.posterior_table(data.select(*map(q, given)).distinct(), missing)
-        rank = Factor(post.df, missing, post.states).rank()
+        ties), or a draw from the posterior. Each distinct evidence is worked out once and joined back. A null in an evidence
+        column is summed out. Draws go by the column ``key``, by default by numbers that are written with the rows first."""
+        missing = [n for n in self.nodes if n not in data.columns and n not in self.dag.latents]
         picked = F.struct(*map(q, missing))
-        if not stochastic:
-            best = post.df.groupBy(*map(q, given)).agg(F.max_by(picked, F.struct(q(VALUE), *[-r for r in rank])).alias("_p"))
-            out = data.join(best, given, "left") if given else data.crossJoin(best)
-            return out.select(*map(q, data.columns), *[F.col("_p")[m].alias(m) for m in missing])
-        lists = post.df.groupBy(*map(q, given)).agg(F.sort_array(F.collect_list(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], q(VALUE).alias("p"), picked.alias("s")))).alias("_l"))
-        out = (data.join(lists, given, "left") if given else data.crossJoin(lists)).withColumn("_u", uniform(F.monotonically_increasing_id(), seed))
-        pick = F.aggregate("_l", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast(post.df.select(picked.alias("s")).schema["s"].dataType).alias("s")), lambda a, x: F.struct((a["c"] + x["p"]).alias("c"), F.when((a["c"] <= q("_u")) & (x["p"] > 0), x["s"]).otherwise(a["s"]).alias("s")))["s"]
-        return out.withColumn("_s", pick).select(*map(q, data.columns), *[F.col("_s")[m].alias(m) for m in missing])
+        rows = numbered(data, key) if stochastic else data
+
+        def one(part: DataFrame, given: list[str]) -> DataFrame:
+            post = self.posterior_table(part.select(*map(q, given)).distinct(), missing)
+            rank = Factor(post.df, missing, post.states).rank()
+            if not stochastic:
+                best = post.df.groupBy(*map(q, given)).agg(F.max_by(picked, F.struct(q(VALUE), *[-r for r in rank])).alias("_p"))
+                out = joined_back(part, best, given)
+                return out.select(*map(q, data.columns), *[F.col("_p")[m].alias(m) for m in missing])
+            lists = post.df.groupBy(*map(q, given)).agg(F.sort_array(F.collect_list(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], q(VALUE).alias("p"), picked.alias("s")))).alias("_l"))
+            out = joined_back(part, lists, given).withColumn("_u", uniform(q("_id"), seed))
+            pick = F.aggregate("_l", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast(post.df.select(picked.alias("s")).schema["s"].dataType).alias("s")), lambda a, x: F.struct((a["c"] + x["p"]).alias("c"), F.when((a["c"] <= q("_u")) & (x["p"] > 0), x["s"]).otherwise(a["s"]).alias("s")))["s"]
+            return out.withColumn("_s", pick).select(*map(q, data.columns), *[F.col("_s")[m].alias(m) for m in missing])
+
+        return self._by_missing(rows, one)
 
     def log_probability(self, data: DataFrame, column: str = "log_p") -> DataFrame:
-        """``data`` with the log probability of each row: one broadcast join for each table."""
+        """``data`` with the log probability of each row: a join for each table, broadcast where it has at most a million rows."""
         out, parts = data, []
         for i, n in enumerate(self.nodes):
             c = self.cpds[n]
-            out = out.join(c.df.withColumnRenamed(VALUE, f"_p{i}"), c.variables, "left")
+            own = c.df.withColumnRenamed(VALUE, f"_p{i}")
+            out = out.join(F.broadcast(own) if math.prod(map(len, c.states.values())) <= 1_000_000 else own, c.variables, "left")
             parts.append(F.log(F.nullif(F.col(f"_p{i}"), F.lit(0.0))))
         total: Column = F.lit(0.0)
         for p in parts:
@@ -281,34 +364,55 @@ class BayesianNetwork:
         k = F.least(cum, F.lit(len(states) - 1)) + 1
         return out.withColumn("_u", uniform(F.col("_id"), seed)).withColumn(name, F.element_at(F.array(*[F.lit(s) for s in states]), k)).drop("_row", "_u")
 
-    def sample(self, n: int, seed: int = 0, fixed: dict[str, object] | None = None, partial: DataFrame | None = None, include_latents: bool = True) -> DataFrame:
-        """Forward sampling in topological order. ``partial``: rows whose columns are kept; ``fixed``: values that replace draws."""
+    def sample(self, n: int, seed: int = 0, fixed: dict[str, object] | None = None, partial: DataFrame | None = None, include_latents: bool = True, key: str | None = None) -> DataFrame:
+        """Forward sampling in topological order. ``partial``: rows whose columns are kept; ``fixed``: values that replace draws.
+        Draws go by the column ``key`` of ``partial``, by default by numbers that are written with the rows first."""
+        return self._sample(n, seed, fixed, partial, key).select(*[q(v) for v in self.nodes if include_latents or v not in self.dag.latents])
+
+    def _sample(self, n: int, seed: int = 0, fixed: dict[str, object] | None = None, partial: DataFrame | None = None, key: str | None = None) -> DataFrame:
         spark = next(iter(self.cpds.values())).df.sparkSession
         have = set() if partial is None else set(partial.columns)
-        out = spark.range(n).select(F.col("id").alias("_id")) if partial is None else partial.withColumn("_id", F.monotonically_increasing_id())
+        out = spark.range(n).select(F.col("id").alias("_id")) if partial is None else numbered(partial, key)
         for i, v in enumerate(self.dag.topological()):
             if fixed and v in fixed:
                 out = out.withColumn(v, F.lit(fixed[v]))
             elif v not in have:
                 out = self.draw(out, self.cpds[v], seed + i, v)
-        return out.select(*[q(v) for v in self.nodes if include_latents or v not in self.dag.latents])
+        return out.select("_id", *map(q, self.nodes))
 
     def rejection_sample(self, n: int, evidence: dict[str, object], seed: int = 0) -> DataFrame:
         """Forward samples that agree with the evidence: as many rounds as it takes, each sized by the share kept of all rows
         so far, ten times as many while none was kept. Evidence of probability 0 raises, unless elimination is refused for
         its size: then the rounds don't end."""
-        out, have, drawn, rounds = None, 0, 0, 0
-        while have < n:
-            size = int(1.5 * (n - have) * drawn / have) + 1 if have else max(int(1.5 * n) + 1, 10 * drawn)
-            got = self.sample(size, seed + 1000 * rounds)
+
+        def agreeing(size: int, at: int) -> DataFrame:
+            got = self._sample(size, at)
             for v, s in evidence.items():
                 got = got.filter(q(v) == F.lit(s))
+            return got
+
+        return self._rounds(n, agreeing, seed, evidence).select(*map(q, self.nodes))
+
+    def _rounds(self, n: int, accepted: Callable[[int, int], DataFrame], seed: int, evidence: dict[str, object], size_each: int | None = None) -> DataFrame:
+        """The first ``n`` rows, by round and number, of ``accepted(size, seed)``, with ``_id``. Each round is written once it is drawn."""
+        out, have, drawn, rounds = None, 0, 0, 0
+        while have < n:
+            size = size_each or (int(1.5 * (n - have) * drawn / have) + 1 if have else max(int(1.5 * n) + 1, 10 * drawn))
+            got = written(accepted(size, seed + 1000 * rounds).withColumn("_round", F.lit(rounds)))
             kept = got.count()
             drawn, rounds = drawn + size, rounds + 1
+            if have + kept > n:  # the numbers of the round's first rows; draws go by number, so their order says nothing about them
+                got = got.withColumn("_h", uniform(q("_id"), seed + 17)).orderBy("_h", "_id").limit(n - have).drop("_h")
             out, have = (got if out is None else out.unionByName(got)), have + kept
             if rounds == 1 and not have and self._impossible(evidence):
                 raise ValueError("the evidence has probability 0")
-        return out.limit(n)
+        every = (q("_round").cast("long") * F.lit(1 << 40) + q("_id")) if out is not None else None
+        return out.withColumn("_id", every).drop("_round")
+
+    def approximate_map(self, variables: Sequence[str] | None = None, n: int = 10_000, evidence: dict[str, object] | None = None, samples: DataFrame | None = None, seed: int = 0, virtual_evidence: Sequence[Factor] = ()) -> dict[str, object]:
+        """The most frequent states of the variables (by default of all without evidence) in samples; of ties the first in row-major order."""
+        some = list(variables) if variables else [v for v in self.nodes if v not in (evidence or {})]
+        return self.approximate(some, n, evidence, samples, seed, virtual_evidence).argmax()
 
     def _impossible(self, evidence: dict[str, object]) -> bool:
         try:
@@ -325,28 +429,49 @@ class BayesianNetwork:
             out = (out.join(row, c.parents, "left") if c.parents else out.crossJoin(row)).withColumn("_weight", q("_weight") * F.coalesce("_p", F.lit(0.0))).drop("_p")
         return out.select(*map(q, self.nodes), "_weight")
 
+    def _conditioned(self, n: int, evidence: dict[str, object], do: dict[str, object], virtual: Sequence[Factor], partial: DataFrame | None, seed: int) -> DataFrame:
+        """Samples given the evidence, with ``_id``: drawn from the joint posterior where it is small, else by rejection: rows that
+        disagree go, and rows stay with a probability that grows with the virtual evidence's likelihood."""
+        asked = [v for v in self.nodes if v not in evidence and v not in do]
+        if partial is None and math.prod(len(self.states[v]) for v in asked) <= LOCAL_ROWS:
+            out = self.query(asked, {**evidence, **do}, virtual).sample(n, seed, keep_id=True)
+            for v, s in {**evidence, **do}.items():
+                out = out.withColumn(v, F.lit(s))
+            return out.select("_id", *map(q, self.nodes))
+
+        def accepted(rows: DataFrame, at: int) -> DataFrame:
+            for v, s in evidence.items():
+                rows = rows.filter(q(v) == F.lit(s))
+            for i, f in enumerate(virtual):
+                v = f.variables[0]
+                own = f.df.withColumn("_w", q(VALUE) / F.max(VALUE).over(Window.partitionBy())).select(q(v), "_w")
+                rows = rows.join(F.broadcast(own), v).filter(uniform(q("_id"), at + 104_729 + i) < q("_w")).drop("_w")
+            return rows.select("_id", *map(q, self.nodes))
+
+        return self._rounds(n, lambda size, at: accepted(self._sample(size, at, do, partial), at), seed, {**evidence}, None if partial is None else partial.count())
+
     def simulate(self, n: int, do: dict[str, object] | None = None, evidence: dict[str, object] | None = None, virtual_evidence: Sequence[Factor] = (), virtual_intervention: Sequence[CPD] = (), partial: DataFrame | None = None, include_latents: bool = False, seed: int = 0, missing_prob: dict[str, float] | float | None = None) -> DataFrame:
         """Samples under interventions, evidence and missing values (each value goes missing with its column's probability)."""
         net = self.do([*(do or {}), *(c.variable for c in virtual_intervention)]) if do or virtual_intervention else self
         for c in virtual_intervention:
             net.cpds[c.variable] = CPD(c.df, c.variable, [], c.states)
         if evidence or virtual_evidence:
-            asked = [v for v in net.nodes if v not in (evidence or {}) and v not in (do or {})]
-            post = net.query(asked, {**(evidence or {}), **(do or {})}, virtual_evidence)
-            out = post.sample(n, seed)
-            for v, s in {**(evidence or {}), **(do or {})}.items():
-                out = out.withColumn(v, F.lit(s))
-            out = out.select(*map(q, net.nodes))
+            out = net._conditioned(n, evidence or {}, do or {}, virtual_evidence, partial, seed)
         else:
-            out = net.sample(n, seed, fixed=do, partial=partial)
+            out = net._sample(n, seed, do, partial)
         keep = [v for v in self.nodes if include_latents or v not in self.dag.latents]
         gone = missing_prob if isinstance(missing_prob, dict) else dict.fromkeys(keep, missing_prob) if missing_prob else {}
-        out = out.withColumn("_id", F.monotonically_increasing_id()) if gone else out
         return out.select(*[F.when(uniform(F.col("_id"), seed + 7919 + i) < gone[v], None).otherwise(q(v)).alias(v) if v in gone else q(v) for i, v in enumerate(keep)])
 
-    def approximate(self, variables: Sequence[str], n: int = 10_000, evidence: dict[str, object] | None = None, samples: DataFrame | None = None, seed: int = 0) -> Factor:
-        """Relative frequencies of the states in samples, on the full grid."""
-        rows = samples if samples is not None else self.rejection_sample(n, evidence, seed) if evidence else self.sample(n, seed)
+    def approximate(self, variables: Sequence[str], n: int = 10_000, evidence: dict[str, object] | None = None, samples: DataFrame | None = None, seed: int = 0, virtual_evidence: Sequence[Factor] = ()) -> Factor:
+        """Relative frequencies of the states in samples, on the full grid. ``virtual_evidence``: likelihoods over one variable
+        each; samples stay with a probability that grows with them."""
+        if samples is not None:
+            rows = samples
+        elif virtual_evidence:
+            rows = self.simulate(n, evidence=evidence, virtual_evidence=virtual_evidence, include_latents=True, seed=seed)
+        else:
+            rows = self.rejection_sample(n, evidence, seed) if evidence else self.sample(n, seed)
         names = {v: self.states[v] for v in variables}
         counts = rows.groupBy(*map(q, variables)).agg(F.count(F.lit(1)).cast("double").alias("_n"))
         full = grid(rows.sparkSession, list(variables), names).join(counts, list(variables), "left")

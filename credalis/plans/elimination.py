@@ -8,8 +8,11 @@ from itertools import combinations
 
 from credalis.plans.graph import DAG, Graph, Node, ordered
 
-#: A plan whose largest intermediate relation would have more rows is refused.
+#: A plan whose largest intermediate relation would have more rows is refused, with a table of evidence more for each of its rows.
 MAX_ROWS = 10_000_000
+MAX_ROWS_EACH = 100_000
+#: Combinations of evidence states that a step may list before it is cut down to those that occur.
+FREE_ROWS = 10_000
 
 
 def requisite(dag: DAG, variables: Iterable[Node], evidence: Iterable[Node], likelihoods: Iterable[Node] = ()) -> set[Node]:
@@ -60,7 +63,7 @@ def scope_graph(scopes: Iterable[Iterable[Node]]) -> Graph:
 
 
 def largest_step(scopes: Iterable[Iterable[Node]], order: Sequence[Node], cards: dict[Node, int]) -> int:
-    """Rows of the largest intermediate relation of an elimination."""
+    """Rows of the largest intermediate relation of an elimination. With cards of 1 for evidence columns: for each row of evidence."""
     scopes, most = [set(s) for s in scopes], 1
     for n in order:
         touched = [s for s in scopes if n in s]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from credalis.functions.discretize import equal_frequency, equal_width
 from credalis.operators import causal, citests, mcmc, metrics, scores, structure
-from credalis.operators.counts import state_counts, state_names
+from credalis.operators.counts import family_counts, state_counts, state_names
 from credalis.operators.factors import VALUE, Factor, FactorDict, FactorSet, JointDistribution, product, q
 from credalis.operators.gaussian import Gram, LinearGaussianNetwork, ate_linear, two_stage_least_squares
 from credalis.operators.markov import FactorGraph, MarkovNetwork
@@ -87,13 +87,13 @@ def state_counts_weighted(spark, sf):
     return state_counts(coded(spark, sf).withColumn("w", F.col("qty")), "ls", ["rf"], weight="w").select("ls", "rf", F.col("n").cast("long").alias("n"))
 
 
-@query(f"""WITH {CODED} SELECT coalesce(rf, '*') AS rf, coalesce(ls, '*') AS ls, coalesce(CAST(disc AS VARCHAR), '*') AS disc, coalesce(CAST(qty AS VARCHAR), '*') AS qty, count(*) AS n, grouping(rf) * 8 + grouping(ls) * 4 + grouping(disc) * 2 + grouping(qty) AS g
+@query(f"""WITH {CODED} SELECT coalesce(rf, '*') AS rf, coalesce(ls, '*') AS ls, coalesce(CAST(disc AS VARCHAR), '*') AS disc, coalesce(CAST(qty AS VARCHAR), '*') AS qty, count(*) AS n
 FROM coded GROUP BY GROUPING SETS ((rf, ls), (rf, disc), (ls, disc), (rf, ls, disc), (qty), (rf, qty))""")
 def family_counts_grouping_sets(spark, sf):
-    data = coded(spark, sf)
     sets = [["rf", "ls"], ["rf", "disc"], ["ls", "disc"], ["rf", "ls", "disc"], ["qty"], ["rf", "qty"]]
-    out = data.groupingSets([[F.col(c) for c in s] for s in sets], "rf", "ls", "disc", "qty").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("*")).alias(c) for c in ("rf", "ls", "disc", "qty")], "n", F.col("g").cast("long").alias("g"))
+    found = family_counts(coded(spark, sf), sets)
+    rows = [(dict(zip(sorted(f), k, strict=True)), int(n)) for f, cells in found.items() for k, n in cells.items()]
+    return spark.createDataFrame([(*(str(k.get(c, "*")) for c in ("rf", "ls", "disc", "qty")), n) for k, n in rows], "rf string, ls string, disc string, qty string, n long")
 
 
 @query(f"WITH {CODED} SELECT ls, rf, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY rf), 6) AS value FROM coded GROUP BY ls, rf")
@@ -369,24 +369,30 @@ def chow_liu_weights(spark, sf):
 # --- structure and causal -----------------------------------------------------------------------------------------
 
 
-@query()
+#: b follows a, c follows a and d: the edges that are planted, without direction where data can't tell it.
+_SKELETON = "SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('c', 'd')) t(src, dst)"
+
+
+def _skeleton(spark, edges) -> DataFrame:
+    return spark.createDataFrame(sorted(tuple(sorted(e)) for e in edges), "src string, dst string")
+
+
+@query(_SKELETON)
 def hill_climb_planted(spark, sf):
     data = planted(spark, sf)
-    dag = structure.hill_climb(structure.Score(data, "bic"), data.columns)
-    return spark.createDataFrame(sorted(dag.edges), "src string, dst string")
+    return _skeleton(spark, structure.hill_climb(structure.Score(data, "bic"), data.columns).edges)
 
 
-@query()
+@query(_SKELETON)
 def pc_planted(spark, sf):
     data = planted(spark, sf)
-    g, _ = structure.pc(citests.CITests(data), data.columns, return_type="skeleton")
-    return spark.createDataFrame(sorted(g.edges), "src string, dst string")
+    return _skeleton(spark, structure.pc(citests.CITests(data), data.columns, return_type="skeleton")[0].edges)
 
 
-@query()
+@query(_SKELETON)
 def greedy_search_planted(spark, sf):
     data = planted(spark, sf)
-    return spark.createDataFrame(sorted(structure.greedy_equivalence(structure.Score(data, "bic"), data.columns).edges), "src string, dst string")
+    return _skeleton(spark, structure.greedy_equivalence(structure.Score(data, "bic"), data.columns).edges)
 
 
 @query(f"""WITH {PLANTED}, s AS (SELECT a, c, d, CAST(count(*) AS DOUBLE) AS n FROM planted GROUP BY ALL), x AS (SELECT a, d, sum(n) AS n FROM s GROUP BY a, d), z AS (SELECT d, sum(n) AS n FROM s GROUP BY d)
@@ -407,16 +413,47 @@ def ate_linear_quantity(spark, sf):
     return spark.createDataFrame([(round(ate_linear(lineitem(spark, sf), "l_quantity", "l_extendedprice"), 4),)], "ate double")
 
 
-@query("SELECT CAST(3 AS BIGINT) AS shd")
+def nations(spark: SparkSession, sf: str) -> DAG:
+    """Each nation points to its region, and each region to the world."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
+    return DAG(sorted({(f"n{r[0]:02}", f"r{r[1]}") for r in rows} | {(f"r{r[1]}", "world") for r in rows}))
+
+
+_NATIONS = """WITH e AS (SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS u, 'r' || CAST(n_regionkey AS VARCHAR) AS v FROM nation UNION SELECT 'r' || CAST(n_regionkey AS VARCHAR), 'world' FROM nation),
+married AS (SELECT DISTINCT x.u AS u, y.u AS v, x.v AS child FROM e x JOIN e y ON x.v = y.v AND x.u < y.u) """
+
+
+@query("""WITH a AS (SELECT n_nationkey AS u, 100 + n_regionkey AS v FROM nation), b AS (SELECT CASE WHEN u % 2 = 0 THEN v ELSE u END AS u, CASE WHEN u % 2 = 0 THEN u ELSE v END AS v FROM a WHERE u % 3 <> 0),
+d AS ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT count(*) AS shd FROM (SELECT DISTINCT least(u, v), greatest(u, v) FROM d)""")
 def structural_hamming_distance(spark, sf):
-    a = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
-    b = spark.createDataFrame([("b", "a"), ("b", "c"), ("a", "d")], "src string, dst string")
+    a = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst"))
+    odd = F.col("src") % 2 == 0
+    b = a.filter("src % 3 <> 0").select(F.when(odd, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(odd, F.col("src")).otherwise(F.col("dst")).alias("dst"))
     return metrics.shd_frames(a, b)
 
 
-@query("SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('b', 'c'), ('c', 'd')) t(u, v)")
+@query(_NATIONS + "SELECT least(u, v) AS u, greatest(u, v) AS v FROM e UNION SELECT u, v FROM married")
 def moral_edges(spark, sf):
-    return spark.createDataFrame(DAG([("a", "c"), ("b", "c"), ("c", "d")]).moralize().edges, "u string, v string")
+    return spark.createDataFrame(sorted(tuple(sorted(e)) for e in nations(spark, sf).moralize().edges), "u string, v string")
+
+
+@query(_NATIONS + "SELECT v AS node FROM e WHERE u = 'n03' UNION SELECT u FROM e WHERE v = 'n03' UNION SELECT CASE WHEN u = 'n03' THEN v ELSE u END FROM married WHERE 'n03' IN (u, v)")
+def markov_blanket(spark, sf):
+    return spark.createDataFrame([(n,) for n in sorted(nations(spark, sf).markov_blanket("n03"))], "node string")
+
+
+@query(_NATIONS + "SELECT u, v, child FROM married")
+def immoralities(spark, sf):
+    return spark.createDataFrame(sorted((*sorted(p), n) for p, n in nations(spark, sf).immoralities()), "u string, v string, child string")
+
+
+@query(_NATIONS + ", p AS (SELECT u AS a FROM e WHERE u LIKE 'n%') SELECT x.a AS u, y.a AS v, EXISTS (SELECT 1 FROM e f JOIN e g ON f.v = g.v WHERE f.u = x.a AND g.u = y.a) AS connected FROM p x JOIN p y ON x.a < y.a")
+def dconnection_given_collider(spark, sf):
+    """Nations are connected given the regions exactly if they share one."""
+    dag = nations(spark, sf)
+    given = [n for n in dag.nodes if n.startswith("r")]
+    some = sorted(n for n in dag.nodes if n.startswith("n"))
+    return spark.createDataFrame([(u, v, bool(dag.is_dconnected(u, v, given))) for i, u in enumerate(some) for v in some[i + 1 :]], "u string, v string, connected boolean")
 
 
 # --- continuous, discretised, sequences ---------------------------------------------------------------------------
@@ -534,17 +571,6 @@ def model_file_round_trip(spark, sf):
     return rounded(back.cpds["ls"].df.select("ls", "rf", F.col("disc").cast("long").alias("disc"), VALUE))
 
 
-@query("SELECT * FROM (VALUES ('b'), ('c'), ('e')) t(node)")
-def markov_blanket(spark, sf):
-    return spark.createDataFrame([(n,) for n in DAG([("a", "c"), ("b", "c"), ("e", "a"), ("c", "d")]).markov_blanket("a")], "node string")
-
-
-@query("SELECT * FROM (VALUES ('a', 'b', 'c')) t(u, v, child)")
-def immoralities(spark, sf):
-    found = DAG([("a", "c"), ("b", "c"), ("c", "d")]).immoralities()
-    return spark.createDataFrame([(*sorted(p), n) for p, n in found], "u string, v string, child string")
-
-
 @query("SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 5) AS r FROM (SELECT corr(l_extendedprice, l_quantity) AS xy, corr(l_extendedprice, l_partkey) AS xz, corr(l_quantity, l_partkey) AS yz FROM lineitem)")
 def partial_correlation(spark, sf):
     g = Gram.of(lineitem(spark, sf), ["l_extendedprice", "l_quantity", "l_partkey"])
@@ -572,7 +598,13 @@ def online_counts(spark, sf):
     return streaming_counts(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"])
 
 
-@query()
+_STEP = "{p} * CASE WHEN big = 0 THEN 0.8 ELSE 0.2 END / ({p} * CASE WHEN big = 0 THEN 0.8 ELSE 0.2 END + (1 - {p}) * CASE WHEN big = 0 THEN 0.3 ELSE 0.7 END)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, CAST(value > 50 AS INTEGER) AS big, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(value > 50 AS INTEGER)) AS r FROM events),
+f AS (SELECT user_id, r, {_STEP.format(p="CAST(0.5 AS DOUBLE)")} AS p FROM e WHERE r = 1
+    UNION ALL SELECT user_id, r, {_STEP.format(p="q")} FROM (SELECT e.user_id, e.r, e.big, f.p * 0.9 + (1 - f.p) * 0.1 AS q FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+SELECT user_id, round(arg_max(p, r), 6) AS p0, max(r) AS events FROM f GROUP BY user_id""")
 def belief_filter(spark, sf):
     from credalis.streaming.online import filtered_batch
 
@@ -581,9 +613,22 @@ def belief_filter(spark, sf):
     return out.select("user_id", F.round(F.col("belief")[0], 6).alias("p0"), "events")
 
 
-@query()
+@query(_SKELETON)
 def chow_liu_planted(spark, sf):
-    return spark.createDataFrame(sorted(structure.chow_liu(planted(spark, sf), root="a").edges), "src string, dst string")
+    return _skeleton(spark, structure.chow_liu(planted(spark, sf), root="a").edges)
+
+
+@query("SELECT count(*) > 0 AS best_has_planted_edges FROM lineitem")
+def exhaustive_planted(spark, sf):
+    """The best of all graphs over four variables has the planted edges."""
+    best = structure.exhaustive(structure.Score(planted(spark, sf), "bic"), ["a", "b", "c", "d"])[-1][1]
+    return spark.createDataFrame([({("a", "b"), ("a", "c"), ("c", "d")} <= {tuple(sorted(e)) for e in best.edges},)], "best_has_planted_edges boolean")
+
+
+@query(_SKELETON)
+def mmhc_planted(spark, sf):
+    data = planted(spark, sf)
+    return _skeleton(spark, structure.mmhc(data, structure.Score(data, "bic")).edges)
 
 
 @query()
@@ -615,6 +660,104 @@ def approximate_query(spark, sf):
     return fitted(spark, sf).approximate(["ls"], 5000, {"disc": 1}, seed=3).df
 
 
+# --- wide evidence, missing values, far columns -------------------------------------------------------------------
+
+_WIDE = 30
+
+
+@query(f"""WITH x AS (SELECT l_returnflag AS rf, k, i, CAST((l_partkey * (2 * i + 1) + l_suppkey * i + CASE l_returnflag WHEN 'A' THEN i WHEN 'N' THEN 1 ELSE 2 END) % (3 + i % 4) = 0 AS BIGINT) AS e FROM (SELECT *, row_number() OVER () AS k FROM lineitem), range({_WIDE}) t(i)),
+c AS (SELECT rf, CAST(count(*) AS DOUBLE) AS n FROM x WHERE i = 0 GROUP BY rf), n AS (SELECT rf, i, e, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL),
+s AS (SELECT x.k, c.rf, ln(c.n) + sum(ln(n.n / c.n)) AS p FROM x JOIN n ON n.i = x.i AND n.e = x.e JOIN c ON c.rf = n.rf GROUP BY x.k, c.rf, c.n)
+SELECT rf, count(*) AS n FROM (SELECT k, arg_max(rf, p) AS rf FROM s GROUP BY k) GROUP BY rf""")
+def predict_wide_evidence(spark, sf):
+    """Thirty evidence columns: far more combinations than rows."""
+    c = F.col
+    own = F.when(c("l_returnflag") == "N", 1).otherwise(2)
+    data = lineitem(spark, sf).select(c("l_returnflag").alias("rf"), *[((c("l_partkey") * (2 * i + 1) + c("l_suppkey") * i + F.when(c("l_returnflag") == "A", i).otherwise(own)) % (3 + i % 4) == 0).cast("long").alias(f"e{i}") for i in range(_WIDE)])
+    return naive_bayes(data, "rf").predict(data.drop("rf")).groupBy("rf").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_NET + """, x AS (SELECT CASE WHEN k % 5 = 0 THEN NULL ELSE disc END AS disc, CASE WHEN k % 7 = 0 THEN NULL ELSE tax END AS tax FROM coded), g AS (SELECT DISTINCT disc, tax FROM x),
+s AS (SELECT g.disc, g.tax, j.rf, j.ls, sum(p) AS p FROM g JOIN j ON (g.disc IS NULL OR g.disc = j.disc) AND (g.tax IS NULL OR g.tax = j.tax) GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY disc, tax ORDER BY p DESC, rf, ls) AS r FROM s)
+SELECT x.disc, x.tax, m.rf, m.ls, count(*) AS n FROM x JOIN m ON x.disc IS NOT DISTINCT FROM m.disc AND x.tax IS NOT DISTINCT FROM m.tax AND r = 1 GROUP BY ALL""")
+def predict_missing_evidence(spark, sf):
+    """A null in an evidence column is summed out."""
+    k = F.col("k")
+    data = coded(spark, sf).select(F.when(k % 5 != 0, F.col("disc")).alias("disc"), F.when(k % 7 != 0, F.col("tax")).alias("tax"))
+    return fitted(spark, sf).predict(data).groupBy("disc", "tax", "rf", "ls").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(covar_samp(l_quantity, l_discount), 6) AS c, round(var_samp(l_quantity), 4) AS v FROM lineitem")
+def covariance_far_from_zero(spark, sf):
+    """Columns moved by a hundred million have the same covariance."""
+    g = Gram.of(lineitem(spark, sf).select((F.col("l_quantity") + 1e8).alias("q"), (F.col("l_discount") - 1e6).alias("d"))).cov(["q", "d"])
+    return spark.createDataFrame([(round(float(g[0, 1]), 6), round(float(g[0, 0]), 4))], "c double, v double")
+
+
+@query(f"""WITH {PLANTED}, holes AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_orderkey % 2 END AS a, greatest(l_orderkey % 2, l_linenumber % 2) AS c, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_linenumber % 2 END AS d FROM lineitem),
+f AS (SELECT * FROM holes WHERE a IS NOT NULL AND d IS NOT NULL), s AS (SELECT a, c, d, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY ALL), x AS (SELECT a, d, sum(n) AS n FROM s GROUP BY a, d), z AS (SELECT d, sum(n) AS n FROM s GROUP BY d)
+SELECT CAST(s.a AS BIGINT) AS a, CAST(s.c AS BIGINT) AS c, round(sum(s.n / x.n * z.n / (SELECT sum(n) FROM s)), 6) AS p FROM s JOIN x ON s.a = x.a AND s.d = x.d JOIN z ON s.d = z.d GROUP BY s.a, s.c""")
+def backdoor_with_missing_values(spark, sf):
+    k, line, part = (F.col(f"l_{n}") for n in ("orderkey", "linenumber", "partkey"))
+    data = lineitem(spark, sf).select(F.when(k % 11 != 0, k % 2).cast("long").alias("a"), F.greatest(k % 2, line % 2).cast("long").alias("c"), F.when(part % 13 != 0, line % 2).cast("long").alias("d"))
+    return rounded(causal.adjusted(data, "a", "c", ["d"]), "p")
+
+
+@query(f"""WITH {CODED}, s AS (SELECT ls, disc, rf, CAST(count(*) AS DOUBLE) AS n FROM coded GROUP BY ALL), x AS (SELECT ls, rf, sum(n) AS n FROM s GROUP BY ls, rf), z AS (SELECT rf, sum(n) / sum(sum(n)) OVER () AS p FROM s GROUP BY rf),
+w AS (SELECT z.rf, z.p FROM z), g AS (SELECT DISTINCT disc FROM s)
+SELECT disc, round(sum(c), 6) AS value FROM (SELECT g.disc, w.p * coalesce(s.n / x.n, CASE WHEN x.n IS NULL THEN 1.0 / (SELECT count(*) FROM g) ELSE 0 END) AS c FROM w CROSS JOIN g LEFT JOIN x ON x.rf = w.rf AND x.ls = 'F' LEFT JOIN s ON s.rf = w.rf AND s.ls = 'F' AND s.disc = g.disc) GROUP BY disc""")
+def do_query_network(spark, sf):
+    """P(disc | do(ls = F)) in a network where rf confounds the two."""
+    net = BayesianNetwork([("rf", "ls"), ("rf", "disc"), ("ls", "disc")]).fit(coded(spark, sf).select("rf", "ls", "disc"))
+    return rounded(causal.do_query(net, ["disc"], {"ls": "F"}).df)
+
+
+@query("""WITH c AS (SELECT covar_samp(l_quantity, l_extendedprice) AS xy, covar_samp(l_partkey, l_extendedprice) AS zy, covar_samp(l_quantity, l_partkey) AS xz, var_samp(l_quantity) AS xx, var_samp(l_partkey) AS zz FROM lineitem)
+SELECT round((xy * zz - zy * xz) / (xx * zz - xz * xz), 3) AS ate FROM c""")
+def estimate_ate(spark, sf):
+    dag = DAG([("l_partkey", "l_quantity"), ("l_partkey", "l_extendedprice"), ("l_quantity", "l_extendedprice")])
+    data = lineitem(spark, sf).select("l_partkey", "l_quantity", "l_extendedprice")
+    return spark.createDataFrame([(round(causal.estimate_ate(dag, data, "l_quantity", "l_extendedprice"), 3),)], "ate double")
+
+
+_CORRECTED = " UNION ALL ".join(f"SELECT '{x}' AS u, '{y}' AS v, sum(pow(greatest(abs(o - x * y / t) - 0.5, 0), 2) / (x * y / t)) AS s FROM (SELECT g.{x}, h.{y}, coalesce(n.n, 0) AS o, sum(coalesce(n.n, 0)) OVER (PARTITION BY g.{x}) AS x, sum(coalesce(n.n, 0)) OVER (PARTITION BY h.{y}) AS y, sum(coalesce(n.n, 0)) OVER () AS t FROM (SELECT DISTINCT {x} FROM planted) g CROSS JOIN (SELECT DISTINCT {y} FROM planted) h LEFT JOIN (SELECT {x}, {y}, CAST(count(*) AS DOUBLE) AS n FROM planted GROUP BY ALL) n ON n.{x} = g.{x} AND n.{y} = h.{y})" for x, y in (("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")))
+
+
+@query(f"""WITH {PLANTED}, s AS ({_CORRECTED}), r AS (SELECT s < 3.841458820694124 AS t, (u, v) IN (('a', 'd'), ('b', 'd')) AS f FROM s)
+SELECT CASE WHEN count(*) FILTER (t AND f) = 0 THEN 0.0 ELSE round(CAST(2 * count(*) FILTER (t AND f) AS DOUBLE) / (count(*) FILTER (t) + count(*) FILTER (f)), 6) END AS f1 FROM r""")
+def correlation_score(spark, sf):
+    dag = DAG([("a", "b"), ("a", "c"), ("d", "c")])
+    return spark.createDataFrame([(round(float(metrics.correlation_score(dag, citests.CITests(planted(spark, sf)))), 6),)], "f1 double")
+
+
+@query("WITH c AS (SELECT count(*) AS n, var_pop(l_extendedprice) AS v, regr_r2(l_extendedprice, l_quantity) AS r FROM lineitem) SELECT round(-n / 2 * ln(2 * pi() * v * (1 - r)) - n / 2 - 1.5 * ln(n), 2) AS score FROM c")
+def bic_gaussian_score(spark, sf):
+    s = scores.GaussianScore(lineitem(spark, sf).select("l_extendedprice", "l_quantity"), "bic-g")
+    return spark.createDataFrame([(round(s.local("l_extendedprice", ["l_quantity"]), 2),)], "score double")
+
+
+def _round_trip(name: str, write: Callable, read: Callable) -> None:
+    def run(spark, sf):
+        data = coded(spark, sf).select(F.col("rf"), F.col("ls"), F.concat(F.lit("d"), F.col("disc").cast("string")).alias("disc"))
+        net = BayesianNetwork([("rf", "ls"), ("disc", "ls")]).fit(data)
+        return rounded(read(write(models.Spec.of(net))).network(spark).cpds["ls"].df.select("ls", "rf", "disc", VALUE))
+
+    run.__name__ = f"{name}_round_trip"
+    query(f"WITH {CODED} SELECT ls, rf, 'd' || CAST(disc AS VARCHAR) AS disc, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY rf, disc), 6) AS value FROM coded GROUP BY ls, rf, disc")(run)
+
+
+_round_trip("xmlbif", models.write_xmlbif, models.read_xmlbif)
+_round_trip("net", models.write_net, models.read_net)
+_round_trip("xbn", models.write_xbn, models.read_xbn)
+
+
+@query(f"""WITH {CODED}, v AS (SELECT DISTINCT ls, rf FROM (SELECT DISTINCT ls FROM coded), (SELECT DISTINCT rf FROM coded)) SELECT v.ls, v.rf, coalesce(n, 0) AS n FROM v LEFT JOIN (SELECT ls, rf, count(*) AS n FROM coded GROUP BY ls, rf) USING (ls, rf)""")
+def state_counts_cartesian(spark, sf):
+    data = coded(spark, sf)
+    return state_counts(data, "ls", ["rf"], states=state_names(data, ["ls", "rf"])).select("ls", "rf", F.col("n").cast("long").alias("n"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """P(line status | high discount) in a network learned from lineitem."""
     return ve_query(spark, sf)

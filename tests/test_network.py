@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from credalis.operators.factors import CPD, Factor, JointDistribution, sum_product
-from credalis.operators.network import BayesianNetwork, expectation_maximization, mle_cpd
+from credalis.operators import network
+from credalis.operators.network import BayesianNetwork, expectation_maximization, mle_cpd, naive_bayes
 from credalis.plans import elimination
 
 
@@ -110,3 +111,37 @@ def test_em_recovers_a_latent_class(spark):
     d = spark.createDataFrame(list(zip(*cols)), "a int, b int, c int")
     net = expectation_maximization(BayesianNetwork([("Z", "a"), ("Z", "b"), ("Z", "c")], latents=["Z"]), d, {"Z": [0, 1]}, rounds=25, atol=1e-4)
     assert np.allclose(sorted(net.cpds["a"].rows()[0]), [0.1, 0.9], atol=0.06)
+
+
+def test_prediction_sums_out_missing_evidence_and_takes_wide_rows(spark):
+    net = student(spark)
+    rows = spark.createDataFrame([(0, 1), (None, 1), (0, None), (None, None)], "L int, G int")
+    got = {(r.L, r.G): r for r in net.predict_probability(rows).collect()}
+    for (left, grade), r in got.items():
+        want = net.query(["J"], {k: v for k, v in (("L", left), ("G", grade)) if v is not None}).values()
+        np.testing.assert_allclose([r.J_0, r.J_1], want)
+    best = {(r.L, r.G): r.J for r in net.predict(rows).collect()}
+    assert len(best) == 4 and best[0, 1] == net.map_query(["A", "R", "J", "Q"], {"L": 0, "G": 1})["J"]
+    rng = np.random.default_rng(0)
+    c = rng.integers(0, 2, 400)
+    data = spark.createDataFrame([(int(k), *map(int, (rng.random(30) < (0.3 + 0.4 * k)))) for k in c], "c int, " + ", ".join(f"e{i} int" for i in range(30)))
+    out = naive_bayes(data, "c").predict(data.drop("c"))
+    assert out.count() == 400 and out.filter("c is null").count() == 0
+    a, b = sorted(map(str, net.predict(rows, stochastic=True, seed=3).collect())), sorted(map(str, net.predict(rows, stochastic=True, seed=3).collect()))
+    assert a == b
+
+
+def test_conditioned_samples_of_large_networks(spark, monkeypatch):
+    net = student(spark)
+    like = Factor.of(spark, ["Q"], [1.0, 0.25], cards=[2])
+    want = net.query(["J"], {"L": 1}, [like]).values()
+    for rows in (100_000, 1):  # from the joint posterior, and by rejection
+        monkeypatch.setattr(network, "LOCAL_ROWS", rows)
+        got = net.simulate(4000, evidence={"L": 1}, virtual_evidence=[like], seed=5)
+        assert got.count() == 4000 and got.filter("L = 0").count() == 0
+        assert got.filter("J = 1").count() / 4000 == pytest.approx(want[1], abs=0.03)
+    assert net.approximate(["J"], 4000, {"L": 1}, seed=2, virtual_evidence=[like]).values()[1] == pytest.approx(want[1], abs=0.03)
+    assert net.approximate_map(["J"], 4000, {"L": 1}, seed=2) == net.map_query(["J"], {"L": 1})
+    partial = spark.createDataFrame([(0,), (1,)] * 50, "A int")
+    draws = net.sample(0, seed=1, partial=partial)
+    assert draws.count() == 100 and draws.filter("A = 0").count() == 50

@@ -130,3 +130,29 @@ def test_gaussian(spark):
     assert a.to_canonical().marginalize(["y"]).to_gaussian().equals(a.marginalize(["y"]))
     assert a.to_canonical().marginalize(["y"]).pdf(0.3) == pytest.approx(a.marginalize(["y"]).pdf(0.3))
     assert GaussianScore(s).local("x3", ["x2"]) > GaussianScore(s).local("x3", [])
+
+
+def test_correlation_score_counts_independence_as_positive():
+    """Three of six pairs d-separated, four found independent, two of them rightly."""
+    dag = DAG([("a", "b"), ("c", "b"), ("b", "d")])  # d-separated: a, c only
+    facts = {("a", "c"), ("a", "d"), ("c", "d")}
+
+    class Fixed:
+        def prefetch(self, tests):
+            """Nothing to count."""
+
+        def independent(self, x, y, z=(), level=0.05):
+            return tuple(sorted((x, y))) in facts
+
+    assert metrics.correlation_score(dag, Fixed()) == pytest.approx(2 * 1 / (3 + 1))
+    rows = metrics.correlation_score(dag, Fixed(), summary=True)
+    assert len(rows) == 6 and sum(r[2] for r in rows) == 3 and sum(r[3] for r in rows) == 1
+    assert metrics.correlation_score(dag, Fixed(), score=lambda t, p: sum(a == b for a, b in zip(t, p)) / len(t)) == pytest.approx(4 / 6)
+
+
+def test_gram_matrix_keeps_digits_far_from_zero(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    data = spark.createDataFrame([(float(a + 1e9), float(a + b - 1e8)) for a, b in x], "u double, v double")
+    want = np.cov(np.array([(r.u, r.v) for r in data.collect()]).T)
+    np.testing.assert_allclose(Gram.of(data).cov(), want, rtol=1e-6)
