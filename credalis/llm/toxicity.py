@@ -82,6 +82,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield i, data[lo:hi], np.maximum(offsets[i : j + 1] - lo, 0)
 
 
+def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, hashes, how often) of the distinct terms of each row, part by part; a row that comes in several parts has terms in each."""
+    for first, part, own in pieces(data, offsets):
+        hashes, rows = term_hashes(part, own)
+        order = np.lexsort((hashes, rows))
+        hashes, rows = hashes[order], rows[order]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]))))
+        yield (rows[begin] + first).astype(np.int32), hashes[begin], np.diff(np.concatenate((begin, [len(rows)]))).astype(np.int32)
+
+
 @dataclass
 class BlockMaxIndex:
     """Vectors of labelled examples, in blocks of ``BLOCK``. ``dense[block, k]`` holds the weights of the k-th common term in a
@@ -103,22 +113,24 @@ class BlockMaxIndex:
     def of(cls, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> BlockMaxIndex:
         """Of sparse vectors ordered by row and term."""
         n = len(ids)
-        weights = weights.astype(np.float32)
+        rows, terms, weights = rows.astype(np.int32), terms.astype(np.int32), weights.astype(np.float32)
         many = np.bincount(terms, minlength=n_terms) * COMMON > n
         common = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
         own = many[terms]
         full = np.zeros((n, int(many.sum())), np.float32)
         full[rows[own], common[terms[own]]] = weights[own]
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         order = alike(full)
         place[order] = np.arange(n)
         rows = place[rows]
         sort = np.lexsort((terms, rows))
         rows, terms, weights = rows[sort], terms[sort], weights[sort]
         n_blocks = max(1, -(-n // BLOCK))
-        dense = np.zeros((n_blocks * BLOCK, full.shape[1]), np.float32)
-        dense[:n] = full[order]
-        dense = np.ascontiguousarray(dense.reshape(n_blocks, BLOCK, -1).transpose(0, 2, 1))
+        dense = np.zeros((n_blocks, full.shape[1], BLOCK), np.float32)
+        for block in range(n_blocks):
+            some = order[block * BLOCK : (block + 1) * BLOCK]
+            dense[block, :, : len(some)] = full[some].T
+        del full
         rare = ~many[terms]
         sort = np.flatnonzero(rare)[np.argsort(terms[rare], kind="stable")]
         starts = np.searchsorted(terms[sort], np.arange(n_terms + 1))
@@ -208,20 +220,15 @@ class ToxicityModel:
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, terms, weights) of the terms that the examples have, of length 1 for each row."""
-        cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, part, own in pieces(data, offsets):
-            hashes, rows = term_hashes(part, own)
-            if not len(self.terms) or not len(hashes):
+        cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for rows, hashes, tf in counted(data, offsets):
+            if not len(self.terms):
                 continue
-            order = np.argsort(hashes)
-            hashes, rows = hashes[order], rows[order]
             at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
             known = self.terms[at] == hashes
-            cell, n = np.unique((rows[known] + first).astype(np.int64) * len(self.terms) + at[known], return_counts=True)
-            cells.append(cell)
-            counts.append(n)
-        cell, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-        return unit(cell, np.bincount(inverse, np.concatenate(counts), len(cell)), self.weight)
+            cells.append(rows[known].astype(np.int64) * len(self.terms) + at[known])
+            counts.append(tf[known])
+        return unit(*summed(np.concatenate(cells), np.concatenate(counts)), self.weight)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """The balance of labels among the neighbours, weighted by their cosines, between -1 and 1."""
@@ -241,6 +248,14 @@ class ToxicityModel:
         return out
 
 
+def summed(cell: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and the sums of their counts."""
+    order = np.argsort(cell, kind="stable")
+    cell, tf = cell[order], tf[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+    return cell[begin], np.add.reduceat(tf, begin) if len(begin) else tf
+
+
 def unit(cell: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, terms, weights) of the vectors with those counts; ``cell`` is row * terms + term, in order."""
     rows, terms = cell // max(1, len(weight)), cell % max(1, len(weight))
@@ -262,12 +277,11 @@ def train(rows: list[tuple[int, str, int]], rate: float | None = None) -> Toxici
     raw = [t.encode() for _, t, _ in rows]
     ids, y = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    parts = [(i, term_hashes(part, own)) for i, part, own in pieces(data, offsets)]
-    hashes = np.concatenate([h for _, (h, _) in parts]) if parts else np.zeros(0, np.uint64)
-    owners = np.concatenate([r + i for i, (_, r) in parts]) if parts else np.zeros(0, np.int64)
-    terms, at = np.unique(hashes, return_inverse=True)
-    cell, tf = np.unique(owners.astype(np.int64) * max(1, len(terms)) + at, return_counts=True)
-    r, t = cell // max(1, len(terms)), cell % max(1, len(terms))
+    parts = list(counted(data, offsets))
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _ in parts)]))
+    cell, tf = summed(np.concatenate([np.zeros(0, np.int64), *(r.astype(np.int64) * max(1, len(terms)) + np.searchsorted(terms, h) for r, h, _ in parts)]), np.concatenate([np.zeros(0, np.int32), *(n for *_, n in parts)]))
+    del parts
+    r, t = (cell // max(1, len(terms))).astype(np.int32), (cell % max(1, len(terms))).astype(np.int32)
     df, share = np.bincount(t, minlength=len(terms)), float(y.mean()) if len(y) else 0.0
     weight = np.log((1 + len(y)) / np.maximum(1, df)) * relevance(np.bincount(t, y[r], len(terms)), df, share)
     r, t, w = unit(cell, tf, weight)
