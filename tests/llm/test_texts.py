@@ -164,6 +164,66 @@ def test_long_schedules_keep_to_the_target_weights():
             assert all(abs(count[s] - w * (t + 1)) < 1 for s, w in exact.items()), t
 
 
+def brute_schedule(blocks, weights):
+    """Slot by slot with fractions: of the released blocks the one that is due first; ties by the source's order."""
+    left, done, out, start = dict(blocks), dict.fromkeys(blocks, 0), [], 0
+    while left:
+        w = {s: Fraction(weights.get(s, 0.0)) for s in left}
+        active = [s for s in left if w[s] > 0] or list(left)
+        total = sum(w[s] or 1 for s in active)
+        share = {s: (w[s] or 1) / total for s in active}
+        run, t = dict.fromkeys(active, 0), 0
+        while all(run[s] < left[s] for s in active):
+            ready = [s for s in active if math.floor(run[s] / share[s]) <= t]
+            s = min(ready, key=lambda s: (math.ceil((run[s] + 1) / share[s]), active.index(s)))
+            out.append((s, done[s] + run[s]))
+            run[s], t = run[s] + 1, t + 1
+        for s in active:
+            done[s], left[s] = done[s] + run[s], left[s] - run[s]
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_mix_matches_brute_force(spark):
+    """The whole table: places of all rows, against a schedule made slot by slot."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a"] * 9 + ["b"] * 4 + ["c", "d"])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    sizes = Counter(s for _, s in rows)
+    for weights in (None, {"a": 1.0, "c": 0.3}):
+        got = mixing.mixed(docs, weights, block_docs=8, period=7).collect()
+        blocks = {s: -(-sizes[s] // 8) for s in sorted(sizes)}
+        want = brute_schedule(blocks, weights or {s: math.sqrt(n) / sum(map(math.sqrt, sizes.values())) for s, n in sizes.items()})
+        assert {r.slot: (r.source, r.block) for r in got} == dict(enumerate(want))
+        for s in sizes:
+            own = sorted((r.block, r.place) for r in got if r.source == s)
+            assert own == [(k // 8, k % 8) for k in range(sizes[s])]
+        assert {r.doc_id: r.source for r in got} == dict(rows)
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["big"] * 60 + [None] * 10 + [f"s{k}" for k in range(40)])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 8)
+    for weights in (None, {"big": 1.0, "s3": 0.5, None: 2.0}):
+        got = mixing.mixed(docs, weights, block_docs=4).collect()
+        assert sorted((r.doc_id, r.source or "") for r in got) == sorted((i, s or "") for i, s in rows)
+        slots = {}
+        for r in got:
+            assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+        assert sorted(slots) == list(range(len(slots))) and len(set(slots.values())) == len(slots)
+        for s in {s for _, s in rows}:  # a source's blocks come in order
+            own = [b for _, (x, b) in sorted(slots.items()) if x == s]
+            assert own == sorted(own)
+        if weights is None:
+            size = Counter(s for _, s in rows)
+            total, count = sum(map(math.sqrt, size.values())), Counter()
+            for t in range(150):
+                count[slots[t][0]] += 1
+                assert abs(count["big"] - (t + 1) * math.sqrt(size["big"]) / total) < 1
+
+
 def test_mixed_table(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["big"] * 8 + ["mid", "mid", "small", None]), "x") for i in range(3000)] + [(5, "big", "x"), (None, "mid", "x")]
