@@ -158,6 +158,8 @@ def sha256(text: str) -> str:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` and one more, formatted and read back. Null texts and roles are empty; rows without conv_id are one
+    conversation; repeated rows are repeated turns; extra columns are not read."""
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")

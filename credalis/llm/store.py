@@ -12,18 +12,21 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests in local mode)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``; where that is unset, the warehouse, or in local mode a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
+    if not at and spark.sparkContext.master.split("[")[0] == "local":
         at = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="credalis-"))
-    return at.rstrip("/")
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back with the same schema."""
+    """``df`` written as Parquet to the shared folder and read back with the same schema. It goes by ``dropped``, at the latest
+    when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._credalis_path = path
     return out

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credalis.llm.skew import joined
 from credalis.llm.store import table
 
 BUCKETS = 4096
 SIZES = (3, 4)
 SCALE = 1_000_000
-#: Up to so many rules are compared as one expression; more are joined as a table.
+#: Up to so many rules are compared as one expression; more are joined as a table, with the same results.
 INLINE_RULES = 200
 
 #: The small labelled table: hosts and paths, invented.
@@ -121,38 +122,47 @@ def blocked_by_model(host: Column, path: Column) -> Column:
 
 def _inline(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.text)):
+    for r in sorted(rules, key=lambda r: (len(r.text), r.text, r.verdict)):
         fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
         text, verdict = F.when(fits, F.lit(r.text)).otherwise(text), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
     return text, verdict
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, url: str = "url") -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` (text of the longest rule that fits, else null) and ``verdict`` added.
+    """``pages`` with ``host``, ``path``, ``rule`` (text of the longest rule that fits, else null) and ``verdict`` added; columns of
+    these names are replaced, others are carried and not read.
 
-    A rule fits its host and all subdomains where the URL's path starts with the rule's; of equally long rules the later
-    in the list wins. ``rules`` may be a table (verdict, host, path) of any size, then matched by a join on host suffixes
-    (equally long: the larger text). A null URL or one without ``://`` has an empty host and path and gets the model's
-    verdict. Added columns replace columns of these names. Each row stands for itself.
+    A rule fits its host and all subdomains where the URL's path starts with the rule's; of equally long rules the one whose
+    text, then verdict, sorts last wins. ``rules`` may be a table (verdict, host, path) of any size, then matched by a join on
+    host suffixes; rules with a null don't count. A null URL or one without ``://`` has an empty host and path and gets the
+    model's verdict. Each row stands for itself, so repeated rows repeat their result; an empty table gives an empty one.
     """
-    out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    address = pages[url]
+    out = pages.withColumns({"host": host_of(address), "path": path_of(address)})
     if isinstance(rules, tuple) and len(rules) <= INLINE_RULES:
         text, listed = _inline(F.col("host"), F.col("path"), rules)
-        out = out.withColumn("rule", text).withColumn("_listed", listed)
     else:
         if isinstance(rules, tuple):
             rules = pages.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
-        labels = F.split("host", r"\.")
-        every = out.select("host", "path").distinct().withColumn("_suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-        listed = every.join(rules.select(F.col("host").alias("_suffix"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict")), "_suffix").filter(F.col("path").startswith(F.col("_path")))
-        text = F.concat("_suffix", "_path")
-        best = listed.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), "_verdict")).alias("_best"))
-        out = out.join(best, ["host", "path"], "left").withColumn("rule", F.col("_best.rule")).withColumn("_listed", F.col("_best._verdict")).drop("_best")
-    verdict = F.coalesce("_listed", F.when(blocked_by_model(F.col("host"), F.col("path")), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_listed")
+        labels = F.split("h", r"\.")
+        every = out.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
+        every = every.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+        # the rules of one host are one row, and most URLs may have the same suffix
+        own = rules.dropna(subset=["verdict", "host", "path"]).groupBy(F.col("host").alias("suffix")).agg(F.collect_set(F.struct(F.col("path").alias("rp"), F.col("verdict").alias("rv"))).alias("own"))
+        own = own.join(every.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows")), "suffix")
+        met = joined(every, own, ["suffix"], "rows", ["h", "p"])
+        fits = F.filter("own", lambda r: F.startswith(F.col("p"), r["rp"]))
+        met = met.select("h", "p", F.array_max(F.transform(fits, lambda r: F.struct((F.length("suffix") + F.length(r["rp"])).alias("n"), F.concat(F.col("suffix"), r["rp"]).alias("rule"), r["rv"].alias("verdict")))).alias("best"))
+        best = met.filter("best is not null").groupBy("h", "p").agg(F.max("best").alias("_best"))
+        out = out.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").drop("h", "p")
+        text, listed = F.col("_best.rule"), F.col("_best.verdict")
+    verdict = F.coalesce(listed, F.when(blocked_by_model(F.col("host"), F.col("path")), "block").otherwise("allow"))
+    return out.withColumns({"rule": text, "verdict": verdict}).drop("_best")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every row of ``pages``. Null or no ``://``: empty host and path. Repeated rows each give their row; an
+    empty table gives an empty result; extra columns are not read."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 

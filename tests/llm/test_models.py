@@ -308,7 +308,7 @@ def test_url_rules_and_model(spark):
         host, path = urls.split_url(u)
         fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         if fits:
-            best = max(fits, key=lambda r: len(r.text))
+            best = max(fits, key=lambda r: (len(r.text), r.text, r.verdict))
             return host, path, best.text, best.verdict
         weights, offset = urls.fitted()
         b = urls.buckets(host, path)
@@ -320,6 +320,13 @@ def test_url_rules_and_model(spark):
     table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in urls.RULES], "verdict string, host string, path string")
     by_join = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, table).collect()}
     assert by_join == {i: (r.rule, r.verdict) for i, r in got.items()}
+    # equally long rules: the same whether compared or joined, and whatever their order
+    some = (urls.Rule("allow", "x.com", "/a"), urls.Rule("block", "x.com", "/a"), urls.Rule("block", "y.com", "/ab"), urls.Rule("allow", "com", "/"))
+    odd = spark.createDataFrame([(1, "http://x.com/abc", "h"), (2, "http://www.y.com/abc", "h"), (3, "http://z.com/", "h"), (4, "http://com.x.com/b", "h")], "page_id long, url string, host string")
+    want = [(1, "x.com/a", "block"), (2, "y.com/ab", "block"), (3, "com/", "allow"), (4, "com/", "allow")]
+    as_table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in some] + [(None, "z.com", "/")], "verdict string, host string, path string")
+    for given in (some, some[::-1], as_table):
+        assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(odd, given).collect()) == want
     assert urls.judge(pages.limit(0)).count() == 0
     weights, offset = urls.fitted()
     z = lambda u: sum(weights[k] for k in urls.buckets(*urls.split_url("http://" + u))) + offset * len(urls.buckets(*urls.split_url("http://" + u))) ** 0.5 > 0
