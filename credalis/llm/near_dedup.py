@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dropped(sets, star, links, forest_)
 
     labelled = met.filter("c > 2").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = saved(labelled.join(open_keys, "key", "left_semi").select("key", "i", "node", "root", "n", "c", "head"), "open")
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").drop("hi")
+    rest = saved(joined(labelled, open_keys, ["key"], "rows", ["node"]).select("key", "i", "node", "root", "n", "c", "head"), "open")
     few = rest.filter((F.col("c") <= SMALL) & (F.col("node") != F.col("head")))
     other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"))
     pairs = few.withColumnRenamed("node", "a").join(other, "key").filter("a > b and root <> root_b").filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = classes.filter("node is not null").select("node", "bands", F.col("n_shingles").alias("n"))
     large = rest.filter(F.col("c") > SMALL).select("node", "root", "i").distinct().join(bands, "node").select("node", "root", "n", F.xxhash64("i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"))
     wide = large.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    large = saved(large.join(wide, "key"), "wide")
+    large = saved(joined(large, wide.withColumn("rows", F.col("c")), ["key"], "rows", ["node"]), "wide")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     sets = saved(shingle_table(docs, ends, k), "sets")
     more = saved(verified(pairs, sets, percent).unionByName(_in_blocks(large, sets, percent)), "links")
