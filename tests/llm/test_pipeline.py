@@ -28,7 +28,19 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "mix"]
 
 
-def test_stages_on_an_empty_table(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in [s for s in corpus_pipeline.STAGES if s[0] != "decontaminate"]:
-        assert stage(spark, docs, "").count() == 0
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """Each stage on an empty table, and on nulls, repeated rows and columns with clashing names."""
+    spark.createDataFrame([(1, " ".join(WORDS[:14])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], shape), str(tmp_path)).count() == 0
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)), "xx", None if i % 5 == 0 else "s", i, "own", "y", 7) for i in range(40)]
+    rows += [rows[3], (None, None, None, None, None, None, None, None), (50, "", "xx", "s", 1, "a", "b", 2)]
+    docs = spark.createDataFrame(rows, f"{shape}, score string, _row string, digest int")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns[: len(docs.columns)] == docs.columns
+        ids = [r.doc_id for r in got.collect()]
+        assert set(range(40)) <= set(ids) and len(ids) >= 40, name
+        assert ids.count(3) == (1 if name == "exact_dedup" else 2), name
