@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credalis.functions.random import uniform
+from credalis.functions.storage import written
 
 VALUE = "value"
 #: Combinations of states that the driver lists.
@@ -130,6 +131,12 @@ class Factor:
     def normalize(self) -> Factor:
         return self._like(self.df.withColumn(VALUE, q(VALUE) / F.sum(VALUE).over(Window.partitionBy())))
 
+    def settled(self) -> Factor:
+        """The same values without their history: a local relation, or a written table where there are many."""
+        if math.prod(len(s) for s in self.states.values()) <= LOCAL_ROWS:
+            return self._like(self.df.sparkSession.createDataFrame(self.df.toArrow()))
+        return self._like(written(self.df))
+
     def identity(self) -> Factor:
         return self._like(self.df.withColumn(VALUE, F.lit(1.0)))
 

@@ -132,16 +132,17 @@ class JunctionTree:
         return out[::-1]
 
     def calibrate(self, how=F.sum) -> JunctionTree:
-        """Two passes of belief update: each message is a grouped aggregate, divided by the last one over the same separator."""
+        """Two passes of belief update: each message is a grouped aggregate, divided by the last one over the same separator.
+        Messages and beliefs are settled, so that plans don't grow along the tree."""
         self.beliefs, self.separators = list(self.potentials), {}
         up = self._rooted()
 
         def send(i: int, j: int) -> None:
             shared = self.cliques[i] & self.cliques[j]
-            message = self.beliefs[i]._fold([v for v in self.beliefs[i].variables if v not in shared], how)
+            message = self.beliefs[i]._fold([v for v in self.beliefs[i].variables if v not in shared], how).settled()
             edge = (min(i, j), max(i, j))
             old = self.separators.get(edge)
-            self.beliefs[j] = self.beliefs[j].product(message if old is None else message.divide(old))
+            self.beliefs[j] = self.beliefs[j].product(message if old is None else message.divide(old)).settled()
             self.separators[edge] = message
 
         for child, parent in up:
