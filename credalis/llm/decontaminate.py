@@ -22,8 +22,8 @@ from credalis.llm import kernel as K
 from credalis.llm.store import saved, shielded, table
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one block: about 40 MB are broadcast, and 200 MB needed while it is built.
+BLOCK_BYTES = 8 << 20
 
 Items = list[tuple[object, str | None]]
 
@@ -49,7 +49,12 @@ class GramSet:
         data = np.frombuffer(self.words, np.uint8)
         starts, ends, _ = K.word_spans(data, np.array([0, len(data)]), K.NON_SPACE)
         self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
-        hashes = K.word_hashes(data, starts, ends)
+        hashes, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + K.SLICE)))
+            a, b = starts[i], ends[j - 1]
+            hashes[i:j] = K.word_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a)
+            i = j
         first, last = np.searchsorted(starts, begin), np.searchsorted(starts, begin + sizes)
         count = last - first
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
