@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _X, _W = np.polynomial.legendre.leggauss(60)
 
@@ -20,6 +24,19 @@ def integrate(f: Callable[[float], float], lo: float = -math.inf, hi: float = ma
     return float(sum(w * h / 2 * f(m + h / 2 * x) for m, h in zip((edges[1:] + edges[:-1]) / 2, np.diff(edges), strict=True) for x, w in zip(_X, _W, strict=True)))
 
 
+def density_column(pdf: Callable[..., float], *columns: Column, vectorized: bool = False) -> Column:
+    """A density of the caller's, evaluated on the rows: ``pdf`` of each row's values, or of whole arrays if ``vectorized``. A null gives a null."""
+
+    def of(*values: pa.Array) -> pa.Array:
+        known = functools.reduce(np.logical_and, [v.is_valid().to_numpy(zero_copy_only=False) for v in values])
+        rows = [v.fill_null(0.0).to_numpy(zero_copy_only=False)[known] for v in values]
+        out = np.zeros(len(known))
+        out[known] = np.asarray(pdf(*rows), float) if vectorized else [float(pdf(*x)) for x in zip(*rows, strict=True)]
+        return pa.array(out, pa.float64(), mask=~known)
+
+    return F.arrow_udf(of, "double")(*[c.cast("double") for c in columns])
+
+
 class ContinuousFactor:
     """``pdf`` takes the variables in order."""
 

@@ -131,6 +131,19 @@ class Factor:
     def normalize(self) -> Factor:
         return self._like(self.df.withColumn(VALUE, q(VALUE) / F.sum(VALUE).over(Window.partitionBy())))
 
+    def fingerprint(self, digits: int = 8) -> int:
+        """Equal for factors with equal variables and values (to so many digits), whatever their order."""
+        row = F.xxhash64(*[F.concat_ws("=", F.lit(v), q(v).cast("string")) for v in sorted(self.variables)], F.round(VALUE, digits) + F.lit(0.0))
+        return int(self.df.agg(F.sum(row.cast("decimal(38,0)"))).first()[0] or 0)
+
+    def text(self, digits: int = 4, rows: int = 1000) -> str:
+        """The first ``rows`` of the table in row-major order, for reading."""
+        lines = [[*self.variables, VALUE]] + [[*(str(r[v]) for v in self.variables), f"{r[VALUE]:.{digits}f}"] for r in self.df.orderBy(*self.rank()).limit(rows).collect()]
+        wide = [max(len(x[i]) for x in lines) for i in range(len(lines[0]))]
+        rule = "+" + "+".join("-" * (w + 2) for w in wide) + "+"
+        body = ["| " + " | ".join(x.ljust(w) for x, w in zip(line, wide, strict=True)) + " |" for line in lines]
+        return "\n".join([rule, body[0], rule, *body[1:], rule])
+
     def settled(self) -> Factor:
         """The same values without their history: a local relation, or a written table where there are many."""
         if math.prod(len(s) for s in self.states.values()) <= LOCAL_ROWS:

@@ -162,8 +162,11 @@ class BayesianNetwork:
 
     # --- parameters ---
 
-    def fit(self, data: DataFrame, prior: str | None = None, equivalent_sample_size: float = 5, pseudo_counts: dict[str, DataFrame] | float | None = None, weight: str | None = None, states: dict[str, list] | None = None) -> BayesianNetwork:
-        """Tables from data: maximum likelihood, or with a prior ``K2`` (1 each), ``BDeu`` or ``dirichlet``."""
+    def fit(self, data: DataFrame, prior: str | None = None, equivalent_sample_size: float = 5, pseudo_counts: dict[str, DataFrame] | float | None = None, weight: str | None = None, states: dict[str, list] | None = None, estimator: Callable[[BayesianNetwork, DataFrame], Iterable[CPD]] | None = None) -> BayesianNetwork:
+        """Tables from data: maximum likelihood, or with a prior ``K2`` (1 each), ``BDeu`` or ``dirichlet``. ``estimator``: the
+        caller's own way, which gives a table for each variable."""
+        if estimator is not None:
+            return self.add_cpds(*estimator(self, data))
         names = {v: (states or {}).get(v) or own for v, own in state_names(data, self.nodes).items()}
         counts = self._counts(data, names, weight)
         spark = data.sparkSession
@@ -247,6 +250,10 @@ class BayesianNetwork:
         out = self._eliminate(list(variables), self._reduced(variables, evidence, virtual_evidence), order).normalize()
         return out if joint else {v: out.marginalize([u for u in variables if u != v]) for v in variables}
 
+    def induced_width(self, order: Sequence[str]) -> int:
+        """The width of the graph that eliminating all variables in ``order`` induces."""
+        return elimination.induced([[v, *self.dag.parents(v)] for v in self.nodes], order)[1]
+
     def max_marginal(self, variables: Sequence[str], evidence: dict[str, object] | None = None, order: str | Sequence[str] = "greedy") -> Factor:
         """The largest joint value for each state of the variables."""
         evidence = evidence or {}

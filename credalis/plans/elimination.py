@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import combinations
 
 from credalis.plans.graph import DAG, Graph, Node, ordered
@@ -36,6 +36,35 @@ COSTS = {
 }
 
 
+def _clique_sizes(g: Graph, n: Node, cards: dict[Node, int]) -> list[int]:
+    """Sizes of the largest cliques that ``n`` and its neighbours form."""
+    some = {n, *g.near[n]}
+    around = Graph()
+    for u in some:
+        around.near[u] = g.near[u] & some
+    return [math.prod(cards[v] for v in c) for c in around.maximal_cliques()]
+
+
+def _clique_cost(how: Callable[[int, int, list[int]], float]) -> Callable[[Graph, Node, dict[Node, int]], float]:
+    return lambda g, n, cards: how(math.prod(cards[v] for v in (n, *g.near[n])), cards[n], _clique_sizes(g, n, cards))
+
+
+# s: size of the clique that deleting a variable makes; e: its cardinality; c: sizes of the cliques around it
+COSTS |= {
+    "H1": _clique_cost(lambda s, e, c: s),
+    "H2": _clique_cost(lambda s, e, c: s / e),
+    "H3": _clique_cost(lambda s, e, c: s - max(c)),
+    "H4": _clique_cost(lambda s, e, c: s - sum(c)),
+    "H5": _clique_cost(lambda s, e, c: s / max(c)),
+    "H6": _clique_cost(lambda s, e, c: s / sum(c)),
+}
+
+
+def induced(scopes: Iterable[Iterable[Node]], order: Sequence[Node]) -> tuple[Graph, int]:
+    """(the graph that eliminating in ``order`` induces over the scopes, its width)."""
+    return scope_graph(scopes).fill_order(order)
+
+
 def order_by(graph: Graph, nodes: Iterable[Node], cards: dict[Node, int], heuristic: str = "MinFill") -> list[Node]:
     """Greedy elimination order of ``nodes``; ties by name."""
     work, left, out = graph.copy(), set(nodes), []

@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 
 from credalis.operators.factors import CPD, Factor, JointDistribution, sum_product
+from credalis.functions.density import density_column
+from credalis.functions.kinds import kinds, prepared
 from credalis.operators import network
 from credalis.operators.network import BayesianNetwork, expectation_maximization, mle_cpd, naive_bayes
 from credalis.plans import elimination
@@ -145,3 +147,26 @@ def test_conditioned_samples_of_large_networks(spark, monkeypatch):
     partial = spark.createDataFrame([(0,), (1,)] * 50, "A int")
     draws = net.sample(0, seed=1, partial=partial)
     assert draws.count() == 100 and draws.filter("A = 0").count() == 50
+
+
+def test_strategies_and_small_tools(spark):
+    net = student(spark)
+    graph = elimination.scope_graph([[v, *net.dag.parents(v)] for v in net.nodes] + [["A", "Q"], ["Q", "G"]])
+    cards = {v: 2 + i % 3 for i, v in enumerate(sorted(net.nodes))}
+    for h in ("H1", "H2", "H3", "H4", "H5", "H6"):
+        filled = elimination.triangulated(graph, cards, h)
+        assert filled.is_triangulated() and all(v in filled.near[u] for u in graph.near for v in graph.near[u])
+    assert net.induced_width(["Q", "A", "R", "L", "G", "J"]) == 2 and net.induced_width(["J", "A", "R", "Q", "G", "L"]) == 5
+    a = Factor.of(spark, ["x", "y"], [1, 2, 0, 4], cards=[2, 2])
+    b = Factor.of(spark, ["y", "x"], [1, 0, 2, 4], cards=[2, 2])
+    assert a.fingerprint() == b.fingerprint() != a.product(2.0).fingerprint()
+    assert a.text(1).splitlines()[3] == "| 0 | 0 | 1.0   |"
+    data = spark.createDataFrame([(0, "u", 1.5, True), (1, None, None, False)], "i int, s string, d double, b boolean")
+    frame, found = prepared(data, ordered=["s"])
+    assert found == {"i": "N", "s": "O", "d": "N", "b": "C"} and dict(frame.dtypes)["i"] == "double"
+    with pytest.raises(ValueError):
+        kinds(spark.range(1).selectExpr("array(id) AS a"))
+    got = data.select(density_column(lambda i, d: i + d, data["i"], data["d"]).alias("p"), density_column(np.exp, data["d"], vectorized=True).alias("e")).collect()
+    assert [r.p for r in got] == [1.5, None] and got[0].e == pytest.approx(np.exp(1.5))
+    own = BayesianNetwork([("A", "B")]).fit(data, estimator=lambda n, d: [CPD.table(spark, "A", [[0.5], [0.5]]), CPD.table(spark, "B", [[1, 0], [0, 1]], ["A"], cards=[2])])
+    np.testing.assert_allclose(own.query(["B"]).values(), [0.5, 0.5])
