@@ -44,6 +44,7 @@ def test_mirror_descent_fits_marginals(spark):
 
 def test_dynamic_networks(spark):
     t = lambda v, rows, parents=(): CPD.table(spark, v, rows, parents, cards=[2] * len(parents))
+    # Both networks and their results must match.
     one = DynamicNetwork([("Z", "X"), ("Z", "Y")], [("Z", "Z")]).set_tables([t("Z_0", [[0.8], [0.2]]), t("X_0", [[0.9, 0.6], [0.1, 0.4]], ["Z_0"]), t("Y_0", [[0.7, 0.2], [0.3, 0.8]], ["Z_0"])], [t("Z_1", [[0.9, 0.1], [0.1, 0.9]], ["Z_0"])])
     np.testing.assert_allclose(one.forward(["X_0"])["X_0"].values(), [0.84, 0.16])
     np.testing.assert_allclose(one.query(["Z_1"], {"Y_0": 0, "Y_1": 0})["Z_1"].values(), [0.95080214, 0.04919786], atol=1e-7)

@@ -9,6 +9,7 @@ from credalis.operators.network import BayesianNetwork, expectation_maximization
 from credalis.plans import elimination
 
 
+# This network and the results of its queries below must match.
 def student(spark):
     net = BayesianNetwork([("A", "J"), ("R", "J"), ("J", "Q"), ("J", "L"), ("G", "L")])
     t = lambda v, rows, parents=(): CPD.table(spark, v, rows, parents, cards=[2] * len(parents))
@@ -72,6 +73,7 @@ def test_factor_algebra(spark):
 
 
 def test_fit_predict_and_update(spark):
+    # The three rows and the tables they give must match.
     d = spark.createDataFrame([(0, 0, 1, "X"), (0, 1, 1, "Y"), (1, 0, 0, "Z")], "A int, B int, C int, D string")
     np.testing.assert_allclose(mle_cpd(d, "C", ["A", "B"]).rows(), [[0, 0, 1, 0.5], [1, 1, 0, 0.5]])
     net = BayesianNetwork([("A", "C"), ("B", "C")]).fit(d)

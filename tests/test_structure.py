@@ -13,6 +13,7 @@ from credalis.operators.scores import GaussianScore, Score, local_score
 from credalis.plans.graph import DAG, PDAG, Assertion, Independencies
 
 
+# These rows, and the scores below, must match.
 @pytest.fixture(scope="module")
 def d1(spark):
     return spark.createDataFrame([(0, 0, 1, "X"), (0, 1, 1, "Y"), (1, 0, 0, "Z")], "A int, B int, C int, D string")
@@ -92,6 +93,7 @@ def test_graphs():
 
 def test_causal_queries(spark):
     t = lambda v, rows, parents=(): CPD.table(spark, v, rows, parents, cards=[2] * len(parents))
+    # This network must match.
     net = BayesianNetwork([("S", "T"), ("T", "C"), ("S", "C")]).add_cpds(t("S", [[0.5], [0.5]]), t("T", [[0.25, 0.75], [0.75, 0.25]], ["S"]), t("C", [[0.3, 0.4, 0.7, 0.8], [0.7, 0.6, 0.3, 0.2]], ["S", "T"]))
     np.testing.assert_allclose(net.query(["C"], {"T": 1}).values(), [0.5, 0.5])
     np.testing.assert_allclose(causal.do_query(net, ["C"], {"T": 1}).values(), [0.6, 0.4])
