@@ -413,8 +413,9 @@ class BayesianNetwork:
             out, have = (got if out is None else out.unionByName(got)), have + kept
             if rounds == 1 and not have and self._impossible(evidence):
                 raise ValueError("the evidence has probability 0")
-        every = (q("_round").cast("long") * F.lit(1 << 40) + q("_id")) if out is not None else None
-        return out.withColumn("_id", every).drop("_round")
+        if out is None:
+            return accepted(0, seed)
+        return out.withColumn("_id", q("_round").cast("long") * F.lit(1 << 40) + q("_id")).drop("_round")
 
     def approximate_map(self, variables: Sequence[str] | None = None, n: int = 10_000, evidence: dict[str, object] | None = None, samples: DataFrame | None = None, seed: int = 0, virtual_evidence: Sequence[Factor] = ()) -> dict[str, object]:
         """The most frequent states of the variables (by default of all without evidence) in samples; of ties the first in row-major order."""
